@@ -56,15 +56,15 @@ _WALK = """
             UNION ALL SELECT 'inheritance', s, g FROM typed WHERE t = 'INHERITS')
         GROUP BY hierarchy, child),
     walk AS (
-        SELECT hierarchy, child AS node_id, parent AS at, [child] AS path FROM links
+        SELECT hierarchy, child AS node_id, parent AS tip, [child] AS path FROM links
         UNION ALL
-        SELECT w.hierarchy, w.node_id, l.parent, list_append(w.path, w.at)
-        FROM walk w JOIN links l ON l.hierarchy = w.hierarchy AND l.child = w.at WHERE NOT list_contains(w.path, w.at)),
+        SELECT w.hierarchy, w.node_id, l.parent, list_append(w.path, w.tip)
+        FROM walk w JOIN links l ON l.hierarchy = w.hierarchy AND l.child = w.tip WHERE NOT list_contains(w.path, w.tip)),
     done AS (
-        SELECT w.hierarchy, w.node_id, w.at AS root_id, CAST(len(w.path) AS INTEGER) AS depth, w.path
-        FROM walk w LEFT JOIN links l ON l.hierarchy = w.hierarchy AND l.child = w.at WHERE l.child IS NULL
+        SELECT w.hierarchy, w.node_id, w.tip AS root_id, CAST(len(w.path) AS INTEGER) AS depth, w.path
+        FROM walk w LEFT JOIN links l ON l.hierarchy = w.hierarchy AND l.child = w.tip WHERE l.child IS NULL
         UNION ALL
-        SELECT hierarchy, node_id, list_min(path[list_position(path, at):]), -1, NULL FROM walk WHERE list_contains(path, at))"""
+        SELECT hierarchy, node_id, list_min(list_slice(path, list_position(path, tip), len(path))), -1, NULL FROM walk WHERE list_contains(path, tip))"""
 
 _ENDS = """
     WITH ends AS (
@@ -81,9 +81,9 @@ _ENDS = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _WALK + " SELECT hierarchy, node_id, root_id, depth FROM done",
-        "p4_paths": _WALK + " SELECT d.hierarchy, node_id, parent AS parent_id, root_id, depth, CASE WHEN path IS NULL THEN NULL ELSE array_to_string(list_prepend(root_id, list_reverse(path[2:])), ' > ') END AS path FROM done d JOIN links l ON l.hierarchy = d.hierarchy AND l.child = d.node_id",
-        "p4_descendants": _WALK + " SELECT hierarchy, ancestor_id, node_id, CAST(distance AS INTEGER) AS distance FROM (SELECT hierarchy, node_id, unnest(list_append(path[2:], root_id)) AS ancestor_id, unnest(range(1, len(path) + 1)) AS distance FROM done WHERE path IS NOT NULL)",
-        "p4_subtrees": _WALK + " SELECT hierarchy, ancestor_id AS node_id, count(*) AS n_descendants, CAST(max(distance) AS INTEGER) AS height FROM (SELECT hierarchy, node_id, unnest(list_append(path[2:], root_id)) AS ancestor_id, unnest(range(1, len(path) + 1)) AS distance FROM done WHERE path IS NOT NULL) GROUP BY ALL",
+        "p4_paths": _WALK + " SELECT d.hierarchy, node_id, parent AS parent_id, root_id, depth, CASE WHEN path IS NULL THEN NULL ELSE array_to_string(list_prepend(root_id, list_reverse(list_slice(path, 2, len(path)))), ' > ') END AS path FROM done d JOIN links l ON l.hierarchy = d.hierarchy AND l.child = d.node_id",
+        "p4_descendants": _WALK + " SELECT hierarchy, ancestor_id, node_id, CAST(distance AS INTEGER) AS distance FROM (SELECT hierarchy, node_id, unnest(list_append(list_slice(path, 2, len(path)), root_id)) AS ancestor_id, unnest(range(1, len(path) + 1)) AS distance FROM done WHERE path IS NOT NULL)",
+        "p4_subtrees": _WALK + " SELECT hierarchy, ancestor_id AS node_id, count(*) AS n_descendants, CAST(max(distance) AS INTEGER) AS height FROM (SELECT hierarchy, node_id, unnest(list_append(list_slice(path, 2, len(path)), root_id)) AS ancestor_id, unnest(range(1, len(path) + 1)) AS distance FROM done WHERE path IS NOT NULL) GROUP BY ALL",
         "p6_found": _ENDS + " SELECT edge_id, endpoint, reason FROM judged WHERE reason IS NOT NULL",
         "p6_report": _ENDS + ", months AS (SELECT endpoint, strftime(date_trunc('month', loaded_at), '%Y-%m-%d') AS period, reason FROM judged) SELECT 'edges' AS table_name, endpoint, period, reason, n_orphans, n_references FROM (SELECT endpoint, period, reason, count(*) AS n_orphans FROM months WHERE reason IS NOT NULL GROUP BY ALL) JOIN (SELECT endpoint, period, count(*) AS n_references FROM months GROUP BY ALL) USING (endpoint, period)",
     }
