@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.plans import hierarchy_queries
+from graphweft.plans import graph_queries, hierarchy_queries
 
-MODULES = (hierarchy_queries,)
+MODULES = (graph_queries, hierarchy_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy_queries.p6_found(spark, sf_dir)
+    return graph_queries.search_candidates_hybrid(spark, sf_dir)
