@@ -116,7 +116,8 @@ def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack
     settings = packs.where(F.col(pack_col).isNotNull() & (F.col(capacity_col) > 0)).groupBy(F.col(pack_col).cast("string").alias("pack")).agg(F.min(F.col(capacity_col).cast("int")).alias("capacity"))
     sizes = items.where(F.col(id_col).isNotNull() & (F.col(size_col) > 0)).select(F.col(id_col).alias("id"), F.col(size_col).cast("int").alias("total"))
     sizes = sizes.withColumn("copy", F.monotonically_increasing_id())
-    every = sizes.crossJoin(F.broadcast(settings))
+    given = F.array(*[F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["capacity"]).alias("capacity")) for r in settings.orderBy("pack").collect()]).cast("array<struct<pack:string,capacity:int>>")
+    every = sizes.select("*", F.explode(given).alias("given")).select("id", "total", "copy", "given.pack", "given.capacity")
     pieces = every.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / F.col("capacity")).cast("int") - 1)))
     pieces = pieces.select("pack", "capacity", "id", "copy", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.least("capacity", F.col("total") - F.col("piece") * F.col("capacity")).alias("size"))
     pieces = written(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "copy"), F.lit(SALTS)).cast("int")))
