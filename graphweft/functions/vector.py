@@ -30,7 +30,11 @@ def bucket(token: Column) -> Column:
 
 def hash_embedding(tokens: Column) -> Column:
     """Counts of the tokens' buckets, scaled to unit length and rounded to 6 digits; all 0 without tokens."""
-    buckets = F.transform(tokens, bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, F.round(x / norm, 6)).otherwise(F.lit(0.0)))
+    unit = lambda v, n: F.transform(v, lambda x: F.when(n > 0, F.round(x / n, 6)).otherwise(F.lit(0.0)))
+    # as the end of one fold, so that the counts are made once and not again for each of their uses
+    return F.aggregate(
+        F.transform(tokens, bucket),
+        F.array_repeat(F.lit(0.0), DIMENSIONS),
+        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)),
+        lambda acc: unit(acc, F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s, x: s + x * x))),
+    )

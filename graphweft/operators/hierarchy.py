@@ -10,12 +10,10 @@ taken out last is assigned first, and each node takes root, depth and path from
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.session import written
+from graphweft.session import written, written_path
 
 #: Link types by hierarchy, and which end is the parent (fixed values of the graph's vocabulary).
 OWNERSHIP, INHERITANCE = ("CONTAINS", "DECLARES", "HAS_METHOD"), ("INHERITS",)
@@ -39,29 +37,29 @@ def graph_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(links: DataFrame, turn: int) -> DataFrame:
-    """One round: every link again with ``what`` became of it (``link``, ``raked`` or ``spliced``)."""
-    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2))
-    parents = links.select("h", F.col("parent").alias("child"), F.lit(True).alias("has_child")).distinct()
-    rows = links.join(parents, ["h", "child"], "left")
-    inner = rows.where("has_child").drop("has_child")
-    single = inner.groupBy("h", F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("below")).where("n = 1").select("h", "child", "below")
-    # no two neighbours: a node whose coin shows heads, under a parent whose coin shows tails
-    spliced = inner.join(single, ["h", "child"]).where((F.col("child") != F.col("parent")) & (F.col("below") != F.col("child")) & (coin("child") == 1) & (coin("parent") == 0)).drop("below")
-    over = spliced.select("h", F.col("child").alias("parent"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"), F.col("between").alias("up_between"), F.col("low").alias("up_low"))
-    gone = spliced.select("h", "child", F.lit(True).alias("gone"))
-    moved = F.col("up").isNotNull()
-    kept = inner.join(gone, ["h", "child"], "left").join(over, ["h", "parent"], "left").select(
+def _peel(links: DataFrame) -> DataFrame:
+    """One round: every link again with ``what`` became of it (``link``, ``raked`` or ``spliced``).
+
+    ``turn`` is a column, so that all rounds are one plan and their generated code is compiled once.
+    """
+    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.col("turn")), F.lit(2))
+    kids = links.groupBy("h", F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("below"))
+    rows = links.join(kids, ["h", "child"], "left")
+    # no two neighbours: a node with one child whose coin shows heads, under a parent whose coin shows tails
+    free = (F.col("child") != F.col("parent")) & (F.col("below") != F.col("child")) & (coin("child") == 1) & (coin("parent") == 0)
+    rows = rows.withColumn("what", F.when(F.col("n").isNull(), "raked").when((F.col("n") == 1) & free, "spliced").otherwise("link")).drop("n", "below")
+    over = rows.where("what = 'spliced'").select("h", F.col("child").alias("parent"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"), F.col("between").alias("up_between"), F.col("low").alias("up_low"))
+    moved = F.col("up").isNotNull() & (F.col("what") == "link")
+    return rows.join(over, ["h", "parent"], "left").select(
         "h",
         "child",
         F.when(moved, F.col("up")).otherwise(F.col("parent")).alias("parent"),
         F.when(moved, F.col("dist") + F.col("up_dist")).otherwise(F.col("dist")).alias("dist"),
         F.when(moved, F.concat("up_between", F.array("parent"), "between")).otherwise(F.col("between")).alias("between"),
         F.when(moved, F.least("low", "up_low", "parent")).otherwise(F.col("low")).alias("low"),
-        F.when(F.col("gone"), "spliced").otherwise("link").alias("what"),
+        (F.col("turn") + 1).alias("turn"),
+        "what",
     )
-    raked = rows.where("has_child is null").drop("has_child").withColumn("what", F.lit("raked"))
-    return kept.unionByName(raked)
 
 
 def _beneath(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,33 +82,36 @@ def hierarchies(links: DataFrame) -> DataFrame:
     path. A node with several parents within one hierarchy hangs under the smallest of them (the result is a
     forest); links with a null end are left out, repeated links count once, no links give no rows.
     """
+    spark = links.sparkSession
     start = links.where("child is not null and parent is not null").groupBy(F.col("hierarchy").alias("h"), "child").agg(F.min("parent").alias("parent"))
-    first = written(start)
-    left = first.select("h", "child", "parent", F.lit(1).alias("dist"), F.array().cast("array<string>").alias("between"), F.lit(None).cast("string").alias("low"))
-    rounds: list[tuple[DataFrame, set[str]]] = []
+    nowhere = F.array().cast("array<string>")
+    first = written(start.select("h", "child", "parent", F.lit(1).alias("dist"), nowhere.alias("between"), F.lit(None).cast("string").alias("low"), F.lit(0).alias("turn"), F.lit("link").alias("what")))
+    left, rounds = first, []
     while True:
-        done = written(_peel(left, len(rounds)))
+        done = written(_peel(left.where("what = 'link'").drop("what")))
         seen = {(r["what"], r["loop"]) for r in done.select("what", (F.col("child") == F.col("parent")).alias("loop")).distinct().collect()}
         rounds.append((done, {w for w, _ in seen}))
-        left = done.where("what = 'link'").drop("what")
+        left = done
         if ("link", False) not in seen:
             break
 
     # roots are parents that are no child; a link that closed on itself stands for its cycle
     children = first.select("h", F.col("child").alias("node"))
-    roots = first.select("h", F.col("parent").alias("node")).distinct().join(children, ["h", "node"], "left_anti").select("h", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
-    cycles = left.select("h", F.col("child").alias("node"), F.least("child", "low").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-    assigned = [written(roots), written(cycles)]
+    roots = first.select("h", F.col("parent").alias("node")).distinct().join(children, ["h", "node"], "left_anti").select("h", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), nowhere.alias("path"))
+    cycles = left.where("what = 'link'").select("h", F.col("child").alias("node"), F.least("child", "low").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
+    top, assigned = written_path(roots), [written_path(cycles)]
+    # one scan of all that is assigned, whatever the number of rounds: the plans of the rounds differ in paths only
+    read = lambda paths: spark.read.schema(roots.schema).parquet(*paths)
     for done, seen in reversed(rounds):
-        known = reduce(DataFrame.union, assigned)
-        new = []
-        for what in ("spliced", "raked"):  # a leaf's parent may have been spliced out just after it, in the same round
-            if what in seen:
-                new.append(_beneath(done.where(F.col("what") == what), reduce(DataFrame.union, [known, *new])))
-        if new:
-            assigned.append(written(reduce(DataFrame.union, new)))
-    every = reduce(DataFrame.union, assigned[1:])
-    return every.join(first.select("h", F.col("child").alias("node"), F.col("parent").alias("parent_id")), ["h", "node"]).select(
+        known = read([top, *assigned])
+        noted = lambda what: done.where(F.col("what") == what)  # noqa: B023, E731
+        if not seen & {"spliced", "raked"}:
+            continue
+        over = _beneath(noted("spliced"), known)
+        # a leaf's parent may have been spliced out in the same round: it is assigned before the leaf
+        new = over.unionByName(_beneath(noted("raked"), known.unionByName(over))) if "spliced" in seen else _beneath(noted("raked"), known)
+        assigned.append(written_path(new))
+    return read(assigned).join(first.select("h", F.col("child").alias("node"), F.col("parent").alias("parent_id")), ["h", "node"]).select(
         F.col("h").alias("hierarchy"), F.col("node").alias("node_id"), "parent_id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path"
     )
 

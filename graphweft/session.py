@@ -25,10 +25,14 @@ def written(df: DataFrame) -> DataFrame:
 
     Cuts the lineage and survives the loss of executors; nothing is kept on one machine only.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphweft/{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df))
+
+
+def written_path(df: DataFrame) -> str:
+    """As ``written``, but the path of the table, for reading many of them in one scan."""
+    path = f"{shared_folder(df.sparkSession)}/graphweft/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def parallelism(spark: SparkSession) -> int:
