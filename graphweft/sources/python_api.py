@@ -8,6 +8,7 @@ summaries, excerpts, skeletons) is column expressions.
 from __future__ import annotations
 
 import ast
+import os
 import warnings
 from collections.abc import Iterator
 
@@ -192,8 +193,24 @@ def api_edges(facts: DataFrame) -> DataFrame:
 
 
 def read_package(spark: SparkSession, root: str, graph_id: str) -> DataFrame:
-    """The Python files below a directory as ``graph_id, path, module, source``; texts that are not UTF-8 are kept with marks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    relative = F.regexp_replace(F.element_at(F.split("path", F.lit("/" + root.strip("/").split("/")[-1] + "/"), 2), -1), r"\.py$", "")
-    module = F.regexp_replace(F.translate(relative, "/", "."), r"(^|\.)__init__$", "")
-    return files.select(F.lit(graph_id).alias("graph_id"), relative.alias("relative"), module.alias("module"), F.decode("content", "UTF-8").alias("source")).select("graph_id", F.concat("relative", F.lit(".py")).alias("path"), "module", "source")
+    """The Python files below a directory that all executors see, as ``graph_id, path, module, source``.
+
+    Spark's file sources pass over names that begin with an underscore (``__init__.py``), so only the paths are
+    listed here and the tasks read the files. Bytes that are not UTF-8 become replacement characters.
+    """
+    top = os.path.abspath(root)
+    paths = sorted(os.path.join(d, f) for d, _, files in os.walk(top) for f in files if f.endswith(".py"))
+    base = os.path.dirname(top)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["file", "source"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, len(paths) // 64 + 1))
+    relative = F.substring("file", len(base) + 2, 1_000_000)
+    module = F.regexp_replace(F.translate(F.regexp_replace(relative, r"\.py$", ""), "/", "."), r"(^|\.)__init__$", "")
+    return listed.mapInArrow(read, "file string, source string").select(F.lit(graph_id).alias("graph_id"), relative.alias("path"), module.alias("module"), "source")
