@@ -25,6 +25,8 @@ LAGS = range(1, 13)
 #: Averages from which a word belongs to stuffing: repeated pairs, equal words at one lag, and function words at most.
 REPEATED, PERIODIC, FUNCTION = 0.3, 0.6, 0.1
 SHARE = 0.6
+#: Texts of fewer words and links are not judged.
+LEAST_WORDS = 5
 
 # Function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -82,8 +84,10 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     total = np.maximum(letters(code > 1), 1)
     at = np.flatnonzero((code > 1) & ~link & ~coded)
     w, d = code[at], doc[at]
+    enough = np.bincount(doc[(code > 1) & ~coded], minlength=n) >= LEAST_WORDS
+    links = letters(link & ~coded) / total * enough
     if not len(w):
-        return np.zeros(n), letters(link & ~coded) / total, np.zeros(n)
+        return np.zeros(n), links, np.zeros(n)
     function = function[w]
     pair = np.flatnonzero(~function[:-1] & ~function[1:] & (d[:-1] == d[1:]))
     near = pair[_gaps(np.stack([w[pair] * len(codes) + w[pair + 1], pair], axis=1)) <= GAP]
@@ -105,7 +109,7 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
         periodic = np.maximum(periodic, share(equal))
         strongest = np.maximum(strongest, np.bincount(d[equal], minlength=n) / counts)
     stuffed = (share(again) >= REPEATED) | (periodic >= PERIODIC) | (share(function) <= FUNCTION)
-    return letters(at[stuffed[window]]) / total, letters(link & ~coded) / total, strongest
+    return letters(at[stuffed[window]]) / total * enough, links, strongest
 
 
 def spam_pages(pages: DataFrame, *, id_col: str, text_col: str, share: float = SHARE) -> DataFrame:
