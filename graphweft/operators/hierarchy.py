@@ -42,11 +42,11 @@ def _peel(links: DataFrame) -> DataFrame:
 
     ``turn`` is a column, so that all rounds are one plan and their generated code is compiled once.
     """
-    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.col("turn")), F.lit(2))
+    drawn = lambda c: F.xxhash64(F.col(c), F.col("turn"))
     kids = links.groupBy("h", F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("below"))
     rows = links.join(kids, ["h", "child"], "left")
-    # no two neighbours: a node with one child whose coin shows heads, under a parent whose coin shows tails
-    free = (F.col("child") != F.col("parent")) & (F.col("below") != F.col("child")) & (coin("child") == 1) & (coin("parent") == 0)
+    # no two neighbours: a node with one child, whose number drawn in this round is above its parent's and its child's
+    free = (F.col("child") != F.col("parent")) & (F.col("below") != F.col("child")) & (drawn("child") > drawn("parent")) & (drawn("child") > drawn("below"))
     rows = rows.withColumn("what", F.when(F.col("n").isNull(), "raked").when((F.col("n") == 1) & free, "spliced").otherwise("link")).drop("n", "below")
     over = rows.where("what = 'spliced'").select("h", F.col("child").alias("parent"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"), F.col("between").alias("up_between"), F.col("low").alias("up_low"))
     moved = F.col("up").isNotNull() & (F.col("what") == "link")
