@@ -144,11 +144,12 @@ def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack
                 t.loc[part.index, "bucket"] = np.searchsorted(shipped.value[name][0], part["size"].to_numpy())
             yield from pa.Table.from_pandas(t[["pack", "size", "salt", "n", "bucket"]].astype({"bucket": "int32"}), preserve_index=False).to_batches()
 
+    # (merged, not broadcast: both sides are already distributed by these columns)
     # where the items of a length and salt begin in their bucket: one row per pack, length and salt
     cells = histogram.select("pack", "size", "salt", "n").mapInArrow(bucket, "pack string, size int, salt int, n long, bucket int")
     cells = cells.withColumn("base", F.sum("n").over(Window.partitionBy("pack", "bucket").orderBy("size", "salt")) - F.col("n"))
     within = F.row_number().over(Window.partitionBy("pack", "size", "salt").orderBy("id", "piece", "copy"))
-    ranked = pieces.withColumn("within", within).join(cells.select("pack", "size", "salt", "bucket", "base"), ["pack", "size", "salt"])
+    ranked = pieces.withColumn("within", within).join(cells.select("pack", "size", "salt", "bucket", "base").hint("merge"), ["pack", "size", "salt"])
     ranked = ranked.select("pack", "id", "piece", "start", "size", "bucket", (F.col("base") + F.col("within") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
