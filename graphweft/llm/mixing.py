@@ -37,6 +37,12 @@ def source_key(column: str):
     return F.nullif(F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
+def _packed(counts: np.ndarray) -> list[int]:
+    """The features that occur, each as one number: the feature above 32 bits of its count."""
+    f = np.flatnonzero(counts)
+    return ((f << 32) | counts[f]).tolist()
+
+
 def _measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, names: list[str], tokenizer: str) -> DataFrame:
     """One pass over the texts: sizes of all documents, features of those without source, feature sums per source."""
     with open(tokenizer, "rb") as f:
@@ -55,7 +61,7 @@ def _measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, name
                 ids = encode(text)
                 sizes.append(len(ids))
                 if source is None:
-                    features.append(np.bincount(np.array(ids, dtype=np.int64) % FEATURES, minlength=FEATURES).tolist())
+                    features.append(_packed(np.bincount(np.array(ids, dtype=np.int64) % FEATURES)))
                 else:
                     features.append(None)
                     if source in known:
@@ -65,7 +71,7 @@ def _measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, name
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(features, pa.list_(pa.int64())), pa.array([False] * len(sizes))], ["id", "source", "n_tokens", "features", "is_sum"])
         if batch_kind is not None:
             at = [k for k in range(len(names)) if sums[k].any()]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), batch_kind), pa.array([names[k] for k in at], pa.string()), pa.array([0] * len(at), pa.int32()), pa.array([sums[k].tolist() for k in at], pa.list_(pa.int64())), pa.array([True] * len(at))], ["id", "source", "n_tokens", "features", "is_sum"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), batch_kind), pa.array([names[k] for k in at], pa.string()), pa.array([0] * len(at), pa.int32()), pa.array([_packed(sums[k]) for k in at], pa.list_(pa.int64())), pa.array([True] * len(at))], ["id", "source", "n_tokens", "features", "is_sum"])
 
     rows = docs.where(F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "").select(F.col(id_col).alias("id"), source_key(source_col).alias("source"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, source string, n_tokens int, features array<long>, is_sum boolean")
@@ -128,16 +134,16 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str, source_col: str, te
 
     # the classifier: feature sums per source, added up over the tasks
     sums = np.zeros((len(names), FEATURES))
-    for r in measured.where("is_sum").select("source", F.posexplode("features").alias("f", "n")).where("n > 0").groupBy("source", "f").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in measured.where("is_sum").select("source", F.explode("features").alias("x")).groupBy("source", F.shiftright("x", 32).alias("f")).agg(F.sum(F.col("x").bitwiseAND((1 << 32) - 1)).alias("n")).toLocalIterator():
         sums[names.index(r["source"]), r["f"]] = r["n"]
     likelihood, prior = log_likelihoods(sums), own / max(own.sum(), 1.0)
     model = docs.sparkSession.sparkContext.broadcast((likelihood, prior))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.array(batch.column(2).to_pylist(), dtype=float).reshape(-1, FEATURES)
-            p = posteriors(counts, *model.value) if len(counts) else counts
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.tolist(), pa.list_(pa.float64()))], ["id", "n_tokens", "member"])
+            packed = (np.array(x, dtype=np.int64) for x in batch.column(2).to_pylist())
+            p = [posteriors((x & 0xFFFFFFFF)[None, :].astype(float), model.value[0][:, x >> 32], model.value[1])[0].tolist() for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.list_(pa.float64()))], ["id", "n_tokens", "member"])
 
     kind = measured.schema["id"].dataType.simpleString()
     soft = sized.where("source is null").select("id", "n_tokens", "features")
