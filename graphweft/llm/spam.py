@@ -25,6 +25,8 @@ LAGS = range(1, 13)
 #: Averages from which a word belongs to stuffing: repeated pairs, equal words at one lag, and function words at most.
 REPEATED, PERIODIC, FUNCTION = 0.3, 0.6, 0.1
 SHARE = 0.6
+#: Letters that are looked at together.
+CHARS = 4_000_000
 #: Texts of fewer words and links are not judged.
 LEAST_WORDS = 5
 
@@ -112,6 +114,19 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     return letters(at[stuffed[window]]) / total * enough, links, strongest
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about CHARS letters, so that memory does not grow with the length of the texts."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def spam_pages(pages: DataFrame, *, id_col: str, text_col: str, share: float = SHARE) -> DataFrame:
     """Pages that are mostly keywords, links or tags: ``id, stuffed_share, link_share, periodicity``.
 
@@ -121,8 +136,8 @@ def spam_pages(pages: DataFrame, *, id_col: str, text_col: str, share: float = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            stuffed, link, strongest = spam_shares(texts) if texts else (np.empty(0),) * 3
+            parts = [spam_shares(texts) for texts in _parts(batch.column(1).to_pylist())]
+            stuffed, link, strongest = (np.concatenate([np.empty(0), *(p[k] for p in parts)]) for k in range(3))
             spam = stuffed + link > share
             kept = batch.column(0).filter(pa.array(spam))
             yield pa.RecordBatch.from_arrays([kept, *[pa.array(np.round(x[spam], 6)) for x in (stuffed, link, strongest)]], ["id", "stuffed_share", "link_share", "periodicity"])
