@@ -13,7 +13,8 @@ K1, B = 1.5, 0.75
 def hybrid(keyword: Column, vector: Column, exact: Column, public: Column, kind: Column) -> Column:
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
     total = keyword * KEYWORD + vector * VECTOR + flag(exact, EXACT) + flag(F.coalesce(public, F.lit(False)), PUBLIC) + flag(kind.isin("Function", "Class"), CALLABLE)
-    return F.round(total, 6)
+    # plain arithmetic: decimal and binary rounding disagree on sums that end in a half
+    return F.floor(total * 1e6 + 0.5) / 1e6
 
 
 def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column, times: int) -> Column:

@@ -368,7 +368,7 @@ def _scored(s: Search, with_vector: bool = False) -> str:
         sc AS (SELECT *, 0.0 + {part} AS raw, {hit} AS hits, (lower(coalesce(name, '')) = '{q}' OR lower(coalesce(qualified_name, '')) = '{q}') AS exact_match, {_SIM if with_vector else "0.0"} AS vector_score FROM fr, st, qv),
         bm AS (SELECT *, CASE WHEN raw > 0 THEN round(raw, 6) ELSE 0.0 END AS bm25 FROM sc),
         kw AS (SELECT *, CASE WHEN bm25 > 0 THEN bm25 ELSE hits / {max(len(s.terms), 1)} END AS keyword_score FROM bm WHERE hits > 0 OR bm25 > 0 OR vector_score <> 0 OR exact_match),
-        scored AS (SELECT *, round(keyword_score * 0.65 + vector_score * 0.35 + CASE WHEN exact_match THEN 0.2 ELSE 0.0 END + CASE WHEN coalesce(is_public, false) THEN 0.05 ELSE 0.0 END + CASE WHEN kind IN ('Function', 'Class') THEN 0.03 ELSE 0.0 END, 6) AS score FROM kw)"""
+        scored AS (SELECT *, floor((keyword_score * 0.65 + vector_score * 0.35 + CASE WHEN exact_match THEN 0.2 ELSE 0.0 END + CASE WHEN coalesce(is_public, false) THEN 0.05 ELSE 0.0 END + CASE WHEN kind IN ('Function', 'Class') THEN 0.03 ELSE 0.0 END) * 1e6 + 0.5) / 1e6 AS score FROM kw)"""
 
 
 def _top(s: Search, with_vector: bool = False) -> str:
