@@ -18,9 +18,9 @@ def l2_norm(v: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Dot product to 6 digits; 0 where a vector is null or empty or the lengths differ."""
+    """Dot product to 6 digits; 0 where a vector is null, empty or holds a null or NaN, or the lengths differ."""
     fits = a.isNotNull() & b.isNotNull() & (F.size(a) > 0) & (F.size(a) == F.size(b))
-    return F.when(fits, F.coalesce(F.round(dot(a, b), 6), F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(fits, F.coalesce(F.nanvl(F.round(dot(a, b), 6), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def bucket(token: Column) -> Column:

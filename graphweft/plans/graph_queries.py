@@ -351,7 +351,7 @@ def _vec(query: str) -> str:
     return f"qv AS (SELECT list_transform(c, lambda x: round(x / sqrt(list_sum(list_transform(c, lambda y: y * y))), 6)) AS q FROM (SELECT list_transform(range(32), lambda i: CAST(len(list_filter(b, lambda x: x = i)) AS DOUBLE)) AS c FROM (SELECT {buckets} AS b)))"
 
 
-_SIM = "CASE WHEN q IS NOT NULL AND embedding IS NOT NULL AND len(q) > 0 AND len(q) = len(embedding) THEN coalesce(round(list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i] * embedding[i])), 6), 0.0) ELSE 0.0 END"
+_SIM = "CASE WHEN q IS NOT NULL AND embedding IS NOT NULL AND len(q) > 0 AND len(q) = len(embedding) THEN coalesce(nullif(round(list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i] * embedding[i])), 6), CAST('nan' AS DOUBLE)), 0.0) ELSE 0.0 END"
 
 
 def _scored(s: Search, with_vector: bool = False) -> str:

@@ -91,8 +91,8 @@ def test_parameters():
 
 
 def test_vectors(spark):
-    rows = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [1.0, 2.0]), ([], []), (None, [1.0]), ([None], [1.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in rows.select(vector.similarity(F.col("a"), F.col("b"))).collect()] == [11.0, 0.0, 0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [1.0, 2.0]), ([], []), (None, [1.0]), ([None], [1.0]), ([float("nan")], [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in rows.select(vector.similarity(F.col("a"), F.col("b"))).collect()] == [11.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     e = [r[0] for r in spark.createDataFrame([("a, b|a",), ("",)], "t string").select(embedding.hash_vector(F.col("t"))).collect()]
     assert sum(x * x for x in e[0]) == pytest.approx(1.0, abs=1e-5) and len(e[0]) == 32 and e[1] == [0.0] * 32
 
