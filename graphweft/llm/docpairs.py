@@ -167,6 +167,7 @@ _EMPTY_SENTENCE = re.compile(
     )\W*$""",
     re.I | re.X | re.S,
 )
+_NOTE = re.compile(r"\W*(?:todo|fixme|xxx|hack|wip)\b\W*(?:(?:later|soon|now)\b\W*)?", re.I)
 # Words that say nothing about behaviour when only the name's words stand beside them.
 _FILLER = set("a an the this that these function method routine helper procedure callable class object module value values result results return returns param params parameter parameters arg args argument arguments type types of for to and or in on with is are be it its self cls def by from as at via given using given into".split())
 
@@ -235,6 +236,9 @@ def described(doc: str | None, name: str | None, signature: str | None) -> bool:
         return False
     known = None
     for sentence in own_text(doc):
+        # a note to oneself may stand before a description; alone it is a placeholder
+        noted = _NOTE.match(sentence)
+        sentence = sentence[noted.end() :] if noted else sentence
         if _EMPTY_SENTENCE.match(sentence):
             continue
         words = [w.lower() for w in _WORD.findall(sentence)]
@@ -244,7 +248,7 @@ def described(doc: str | None, name: str | None, signature: str | None) -> bool:
             # the stored signature runs the name into its first parameter
             known |= {w.lower() for w in _WORD.findall((signature or "").removeprefix((name or "").rpartition(".")[2]))}
             known |= {w + "s" for w in known} | {w + "es" for w in known} | _FILLER
-        if sum(w not in known for w in words) >= 2:
+        if sum(w not in known for w in words) >= (5 if noted else 2):
             return True
     return False
 

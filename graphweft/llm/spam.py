@@ -24,6 +24,8 @@ GAP = 40
 LAGS = range(1, 13)
 #: Averages from which a word belongs to stuffing: repeated pairs, equal words at one lag, and function words at most.
 REPEATED, PERIODIC, FUNCTION = 0.3, 0.6, 0.1
+#: Function words at most in a text that is a list as a whole.
+LISTED = 0.12
 SHARE = 0.6
 #: Letters that are looked at together.
 CHARS = 4_000_000
@@ -111,7 +113,9 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
         periodic = np.maximum(periodic, share(equal))
         strongest = np.maximum(strongest, np.bincount(d[equal], minlength=n) / counts)
     stuffed = (share(again) >= REPEATED) | (periodic >= PERIODIC) | (share(function) <= FUNCTION)
-    return letters(at[stuffed[window]]) / total * enough, links, strongest
+    # a text with next to no function words is a list as a whole, though single windows may hold some
+    listed = (np.bincount(d[function], minlength=n) / counts <= LISTED)[d]
+    return letters(at[stuffed[window] | listed]) / total * enough, links, strongest
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
