@@ -96,3 +96,18 @@ def distribution_name(c: Column) -> Column:
 
 def utc_iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _set(c: Column, key: str) -> Column:
+    """The text that a line ``key = "..."`` sets, or null."""
+    return strip_or_null(F.regexp_extract(c, rf"""(?m)^{key} *= *["']([^"'\n]*)["']""", 1))
+
+
+def declared_name(c: Column) -> Column:
+    """The name that a project file declares."""
+    return _set(c, "name")
+
+
+def declared_version(c: Column) -> Column:
+    """The version that a project file declares, or else the ``__version__`` of a module."""
+    return F.coalesce(_set(c, "version"), _set(c, "__version__"))

@@ -301,6 +301,20 @@ def parse_warnings(spark, d):
     return python_api.api_facts(_sources(spark, d)).where("warning is not null").select("graph_id", "path", "warning")
 
 
+def library_identity(spark, d):
+    """Name and version that a library's own files declare; project files before modules, then by path."""
+    t = F.col("source_text")
+    rows = table(spark, d, "source_files").where("source_text is not null").select("library_name", "source_path", (F.lower("source_path").endswith(".toml")).alias("project"), text.declared_name(t).alias("name"), text.declared_version(t).alias("version"))
+    rows = rows.where("(project and name is not null) or version is not null")
+    first = F.struct((~F.col("project")).alias("module"), "source_path", "name", "version")
+    return rows.groupBy("library_name").agg(F.min(first).alias("f")).select("library_name", F.when(~F.col("f.module"), F.col("f.name")).alias("name"), "f.version")
+
+
+def candidate_cards_json(spark, d):
+    card = F.struct("node_id", "kind", "qualified_name", "summary")
+    return search.search_candidates(_current(spark, d), PLAIN).select("node_id", F.to_json(card).alias("card"))
+
+
 def replace_graph(spark, d):
     """All links into a store, then one graph replaced by its ownership links alone; what the store holds then."""
     path = f"{shared_folder(spark)}/graphweft/store-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**8}"
@@ -317,7 +331,7 @@ OWN = (
     search_candidates_keyword, search_candidates_hybrid, search_candidates_scoped, vector_overfetch_then_filter, route_graphs, preview_compress, batch_search,
     hash_embedding_cells, hash_embedding, l2_norm, cosine_topk, cosine_dim_guard, nodes_by_ids, induced_edges, missing_ids, details_context,
     counts_by_kind7, counts_by_kind4, list_graphs, catalog_prefix_status, embedding_status, rebuild_counts, candidate_name_filter, health,
-    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph,
+    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph, library_identity, candidate_cards_json,
 )
 
 
@@ -461,5 +475,10 @@ def oracle_sql() -> dict[str, str]:
             h0 AS (SELECT DISTINCT node_id, 0 AS distance FROM nodes WHERE kind = 'Library'), h1 AS (SELECT DISTINCT b AS node_id, 1 AS distance FROM h0 JOIN both_ways ON a = node_id), h2 AS (SELECT DISTINCT b AS node_id, 2 AS distance FROM h1 JOIN both_ways ON a = node_id)
             SELECT node_id, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node_id""",
         "inherits_edges": with_cur + ", b AS (SELECT graph_id, node_id AS source_node_id, regexp_extract(unnest(bases), '[^.]*$') AS name FROM cur WHERE kind = 'Class') SELECT DISTINCT source_node_id, node_id AS target_node_id FROM b JOIN cur USING (graph_id, name) WHERE kind = 'Class' AND source_node_id <> node_id",
+        "library_identity": """WITH f AS (SELECT library_name, source_path, lower(source_path) LIKE '%.toml' AS project, nullif(trim(regexp_extract(source_text, '(?m)^name *= *["'']([^"''\\n]*)["'']', 1)), '') AS name,
+            coalesce(nullif(trim(regexp_extract(source_text, '(?m)^version *= *["'']([^"''\\n]*)["'']', 1)), ''), nullif(trim(regexp_extract(source_text, '(?m)^__version__ *= *["'']([^"''\\n]*)["'']', 1)), '')) AS version FROM source_files WHERE source_text IS NOT NULL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY library_name ORDER BY NOT project, source_path, name NULLS FIRST, version NULLS FIRST) AS rn FROM f WHERE (project AND name IS NOT NULL) OR version IS NOT NULL)
+            SELECT library_name, CASE WHEN project THEN name END AS name, version FROM r WHERE rn = 1""",
+        "candidate_cards_json": _top(PLAIN) + " SELECT node_id, CAST(to_json({'node_id': node_id, 'kind': kind, 'qualified_name': qualified_name, 'summary': coalesce(summary, '')}) AS VARCHAR) AS card FROM top",
         "replace_graph": "SELECT graph_id, type, count(*) AS n FROM (SELECT DISTINCT graph_id, source_node_id, target_node_id, upper(trim(type)) AS type FROM edges WHERE graph_id <> '') WHERE graph_id <> 'lumen-core:4.2.0' OR type IN ('CONTAINS', 'DECLARES') GROUP BY ALL",
     }
