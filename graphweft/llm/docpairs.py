@@ -263,7 +263,7 @@ def documented_functions(functions: DataFrame, *, id_col: str, doc_col: str, nam
     code is kept as null; repeated rows come out as often as they go in; whole texts are read. Where the
     signature is null it is cut out of the code by the island grammar.
     """
-    schema = f"id string, name string, signature string, description string, code string"
+    schema = "id string, name string, signature string, description string, code string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
