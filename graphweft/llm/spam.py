@@ -94,7 +94,8 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
         return np.zeros(n), links, np.zeros(n)
     function = function[w]
     pair = np.flatnonzero(~function[:-1] & ~function[1:] & (d[:-1] == d[1:]))
-    near = pair[_gaps(np.stack([w[pair] * len(codes) + w[pair + 1], pair], axis=1)) <= GAP]
+    # a pair recurs within its own text only; texts and words of a part are so few that the key fits 64 bits
+    near = pair[_gaps(np.stack([(d[pair] * len(codes) + w[pair]) * len(codes) + w[pair + 1], pair], axis=1)) <= GAP]
     again = np.zeros(len(w), dtype=np.int32)
     again[near] = again[near + 1] = 1
     # windows of about equal length, none over the end of a text

@@ -220,6 +220,13 @@ def test_spam(text, want):
     assert bool(stuffed[1] + link[1] > spam.SHARE) is want
 
 
+def test_spam_of_neighbouring_texts():
+    sentence = "Two option objects compare equal when their relay and policy fields match."
+    alone = spam.spam_shares([sentence])
+    copies = spam.spam_shares([sentence] * 20)
+    assert alone[0][0] == 0.0 and not copies[0].any()  # a pair does not recur over the end of a text
+
+
 def test_spam_pages(spark):
     spammy = "buy cheap sensor " * 50
     df = spark.createDataFrame([(1, spammy), (1, spammy), (2, PROSE), (3, None), (4, "  "), (None, spammy), (5, "http://a.example/x\x00 " * 30)], "i long, t string").withColumn("id", F.lit(7))
