@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphweft.session import parallelism, written
 
-#: Rows of a block at most (about): two blocks of 32 dimensions in double precision take 16 MB.
-BLOCK_ROWS = 32_768
+#: Rows and numbers of a block at most (about): two blocks in double precision take 64 MB, whatever the dimensions.
+BLOCK_ROWS, BLOCK_NUMBERS = 32_768, 1 << 22
 #: Rows of a tile: its int8 product takes 4 MB.
 TILE = 1024
 #: float32 error of a product of int8 numbers after scaling, and of the double precision results' rounding.
@@ -84,13 +84,15 @@ def _block_pair(k: int, least: float | None):
         else:
             (ql, sl, el), (qr, sr, er) = _quantised(m[left]), _quantised(m[right])
             bound = el + er + el * er + EPS
+            if m.shape[1] * 127 * 127 >= 1 << 24:  # sums of that many products round in float32
+                bound += m.shape[1] * 2.0**-24 * (1 + el) * (1 + er)
         for i in range(0, len(left), TILE):
             a, fa = left[i : i + TILE], ql[i : i + TILE].astype(np.float32)
             for j in range(i if low == high else 0, len(right), TILE):
                 b = right[j : j + TILE]
                 if not (wanted[a].any() or wanted[b].any()):
                     continue
-                # products of int8 numbers, added up exactly: they stay below 2**24 for up to 1,000 dimensions
+                # products of int8 numbers, added up exactly: they stay below 2**24 for up to 1,000 dimensions (the bound covers more)
                 tile = fa @ qr[j : j + TILE].astype(np.float32).T
                 for rows, t in ((a, tile), (b, tile.T)):
                     open_ = wanted[rows] & (best.limit[rows] == best.least)
@@ -159,7 +161,8 @@ def most_similar(vectors: DataFrame, *, id_col: str, vector_col: str, space_cols
 
     # blocks: as many as keep a block small, and enough pairs of them to fill the cluster
     least_blocks = int(np.ceil(np.sqrt(4 * parallelism(spark))))
-    counts = reps.groupBy("space").agg(F.count("*").alias("n")).select("space", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.least(F.lit(least_blocks), F.ceil(F.col("n") / TILE))).cast("int").alias("blocks"))
+    sizes = reps.groupBy("space").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims"))
+    counts = sizes.select("space", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n") * F.col("dims") / BLOCK_NUMBERS), F.least(F.lit(least_blocks), F.ceil(F.col("n") / TILE))).cast("int").alias("blocks"))
     placed = reps.join(counts, "space").select("space", "id", "vec", "wanted", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     pairs = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", F.least("block", "b").alias("low"), F.greatest("block", "b").alias("high"), "block", "id", "vec", "wanted")
     near = pairs.groupBy("space", "low", "high").applyInArrow(_block_pair(k, min_similarity), "id string, other string, sim double")

@@ -67,6 +67,18 @@ def test_similar(spark, monkeypatch, least):
     assert set(got) <= {i for i, _ in vecs}
 
 
+def test_similar_of_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_NUMBERS", 30_000)  # 19 rows a block
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 1536))
+    vecs = [(f"v{i:02}", [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base + rng.normal(scale=0.2, size=base.shape)]))]
+    lists = similar.most_similar(spark.createDataFrame(vecs, "id string, vec array<double>"), id_col="id", vector_col="vec", k=3).collect()
+    got = {}
+    for r in sorted(lists, key=lambda r: (r.id, r.rank)):
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == {i: [j for _, j in near] for i, near in brute(vecs, 3).items()}
+
+
 def test_similar_query_rows_and_spaces(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], "m"), ("b", [1.0, 0.1], "m"), ("c", [1.0, 0.0], "n"), ("d", [1.0, 0.2], None), ("e", [1.0, 0.3], None)], "id string, v array<double>, model string")
     lists = similar.most_similar(df, id_col="id", vector_col="v", space_cols=["model"], k=3)
