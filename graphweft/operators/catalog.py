@@ -24,6 +24,16 @@ def embedding_status(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").agg(F.coalesce(F.max(has), F.lit(False)).alias("ready"), *[first(c) for c in ("embedding_provider", "embedding_model", "embedding_schema_version")])
 
 
+def embedding_dimensions(nodes: DataFrame) -> DataFrame:
+    """Per graph with an embedding: the length of the first one by node id and how many differ from it.
+
+    Null embeddings do not count, nor do rows with a null node id.
+    """
+    rows = nodes.where("embedding is not null and node_id is not null").select("graph_id", "node_id", F.size("embedding").alias("n"))
+    sizes = rows.groupBy("graph_id", "n").agg(F.min("node_id").alias("first"), F.count("*").alias("times"))
+    return sizes.groupBy("graph_id").agg(F.min_by("n", "first").cast("long").alias("dimensions"), (F.sum("times") - F.min_by("times", "first")).alias("n_other"))
+
+
 def list_graphs(nodes: DataFrame, name_prefix: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
     """Graphs by their Library node with counts, newest first. One grouped aggregate joined, no query per graph."""
     libraries = nodes.where("kind = 'Library'")

@@ -30,12 +30,25 @@ def missing_ids(requested: DataFrame, nodes: DataFrame) -> DataFrame:
     return requested.join(nodes.select("node_id").distinct(), "node_id", "left_anti").select("pos", "node_id")
 
 
+def in_requests(nodes: DataFrame, size: int = 50) -> DataFrame:
+    """``nodes`` with ``request``: each graph's nodes cut into lookups of about ``size`` ids, far below twice as many.
+
+    The lookup follows from a digest of the id and the graph's number of nodes, so no graph is sorted or gathered.
+    """
+    counts = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / size).alias("__requests"))
+    drawn = F.conv(F.substring(F.md5("node_id"), 1, 8), 16, 10).cast("long")
+    return nodes.join(counts, "graph_id").withColumn("request", F.pmod(drawn, F.col("__requests"))).drop("__requests")
+
+
 def context(nodes: DataFrame) -> DataFrame:
-    """Per graph: what says most about each node, between bars, in the order of the node ids."""
+    """Per graph and request: what says most about each node, between bars, in the order of the node ids.
+
+    A row holds one lookup (``in_requests``), never a whole graph.
+    """
     said = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("docstring", "logic_skeleton", "signature")], F.lit(""))
     item = F.concat_ws("", "kind", F.lit(" "), "qualified_name", F.lit(": "), said)
     items = F.transform(F.array_sort(F.collect_list(F.struct("node_id", item.alias("item")))), lambda x: x["item"])
-    return nodes.groupBy("graph_id").agg(text.compress(items, 1_000_000).alias("context"))
+    return nodes.groupBy("graph_id", "request").agg(text.compress(items, 1_000_000).alias("context"))
 
 
 def expand(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

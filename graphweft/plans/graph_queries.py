@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from graphweft.operators.merge import current_rows
 from graphweft.params import Details, Search
 from graphweft.session import shared_folder, table
 from graphweft.sources import embedding, python_api, store
+from graphweft.streaming import ingest
 
 PLAIN = Search("cached engine")
 REPEATED = Search("the cache of the cache")
@@ -210,7 +213,14 @@ def missing_ids(spark, d):
 
 def details_context(spark, d):
     rows = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {c: c for c in ("graph_id", "kind", "qualified_name", "docstring", "logic_skeleton", "signature")})
-    return details.context(rows.where("kind = 'Class'")).select("graph_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+    return details.context(details.in_requests(rows.where("kind = 'Class'"))).select("graph_id", "request", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+
+
+def details_metadata(spark, d):
+    """Place and metadata of every node, as a lookup of details shows them."""
+    fields = ("is_async", "is_method", "returns_annotation", "annotation", "position", "parameter_kind", "origin", "example_source")
+    rows = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {**{c: c for c in ("source_path", "line_start", "line_end")}, **{c: f"metadata.{c}" for c in fields}})
+    return rows.select("node_id", "source_path", "line_start", "line_end", *fields)
 
 
 def counts_by_kind7(spark, d):
@@ -238,6 +248,10 @@ def embedding_status(spark, d):
     return catalog.embedding_status(current_rows(table(spark, d, "nodes"), "node_id", "updated_at", fields))
 
 
+def embedding_dimensions(spark, d):
+    return catalog.embedding_dimensions(current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {"graph_id": "graph_id", "embedding": "metadata.embedding"}))
+
+
 def rebuild_counts(spark, d):
     return catalog.rebuild_counts(current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {"graph_id": "graph_id", "kind": "kind", "embedding": "metadata.embedding"}))
 
@@ -301,6 +315,16 @@ def parse_warnings(spark, d):
     return python_api.api_facts(_sources(spark, d)).where("warning is not null").select("graph_id", "path", "warning")
 
 
+def stream_link_counts(spark, d):
+    """All links as a stream of files, counted per day of their load and type."""
+    path = f"{shared_folder(spark)}/graphweft/counts-{uuid.uuid4().hex}"
+    links = table(spark, d, "edges")
+    one_file = links.inputFiles()[0].endswith("/edges.parquet")
+    inbox, names = (d, "edges.parquet") if one_file else (f"{d}/edges.parquet", "*")
+    ingest.count_arrivals(spark, inbox, links.schema, f"{path}/table", f"{path}/checkpoint", "1 day", names).awaitTermination()
+    return spark.read.parquet(f"{path}/table").select(F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "type", "n")
+
+
 def library_identity(spark, d):
     """Name and version that a library's own files declare; project files before modules, then by path."""
     t = F.col("source_text")
@@ -317,9 +341,9 @@ def candidate_cards_json(spark, d):
 
 def replace_graph(spark, d):
     """All links into a store, then one graph replaced by its ownership links alone; what the store holds then."""
-    path = f"{shared_folder(spark)}/graphweft/store-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**8}"
+    path = f"{shared_folder(spark)}/graphweft/store-{uuid.uuid4().hex}"
     rows = table(spark, d, "edges").select("graph_id", "source_node_id", "target_node_id", F.upper(F.trim("type")).alias("type")).distinct()
-    store.replace_graphs(rows.where("graph_id <> ''").repartition("graph_id"), path)
+    store.replace_graphs(rows.where("graph_id <> ''"), path)
     one = rows.where("graph_id = 'lumen-core:4.2.0' and type in ('CONTAINS', 'DECLARES')")
     store.replace_graphs(one, path)
     return store.read_graphs(spark, path).groupBy("graph_id", "type").agg(F.count("*").alias("n"))
@@ -329,9 +353,9 @@ OWN = (
     scan_scope_filter, exclude_library, haystack_projection, tokenize_words, tokenize_ws, tokenize_hash, slug_graph_id, node_identity, summary_first_line, embedding_texts,
     term_freq, doc_freq, corpus_stats, bm25_basic, bm25_repeated_terms, bm25_scoped, bm25_indexed, keyword_hits, exact_match, hybrid_score,
     search_candidates_keyword, search_candidates_hybrid, search_candidates_scoped, vector_overfetch_then_filter, route_graphs, preview_compress, batch_search,
-    hash_embedding_cells, hash_embedding, l2_norm, cosine_topk, cosine_dim_guard, nodes_by_ids, induced_edges, missing_ids, details_context,
-    counts_by_kind7, counts_by_kind4, list_graphs, catalog_prefix_status, embedding_status, rebuild_counts, candidate_name_filter, health,
-    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph, library_identity, candidate_cards_json,
+    hash_embedding_cells, hash_embedding, l2_norm, cosine_topk, cosine_dim_guard, nodes_by_ids, induced_edges, missing_ids, details_context, details_metadata,
+    counts_by_kind7, counts_by_kind4, list_graphs, catalog_prefix_status, embedding_status, embedding_dimensions, rebuild_counts, candidate_name_filter, health,
+    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph, stream_link_counts, library_identity, candidate_cards_json,
 )
 
 
@@ -456,9 +480,17 @@ def oracle_sql() -> dict[str, str]:
         "nodes_by_ids": with_cur + "SELECT node_id, graph_id, kind, name, qualified_name, signature, docstring, logic_skeleton, CAST(NULL AS VARCHAR) AS source_excerpt FROM cur WHERE node_id IN ('lumen-core:4.2.0:Library:lumen-core:4.2.0', 'lumen-core:4.2.0:Module:lumen_core.border_a', 'lumen-core:4.2.0:Function:lumen_core.border_a.collect_mapping', 'lumen-core:4.2.0:Class:none')",
         "induced_edges": f"WITH {_REQ} SELECT DISTINCT source_node_id, target_node_id, type FROM edges WHERE source_node_id IN (SELECT node_id FROM req) AND target_node_id IN (SELECT node_id FROM req)",
         "missing_ids": "SELECT edge_id AS pos, target_node_id AS node_id FROM edges WHERE target_node_id <> '' AND target_node_id NOT IN (SELECT node_id FROM nodes)",
-        "details_context": with_cur + """, said AS (SELECT graph_id, node_id, concat(kind, ' ', qualified_name, ': ', coalesce(nullif(docstring, ''), nullif(logic_skeleton, ''), nullif(signature, ''), '')) AS item FROM cur WHERE kind = 'Class'),
-            j AS (SELECT graph_id, array_to_string(list_filter(list_transform(list(item ORDER BY node_id), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' | ') AS context FROM said GROUP BY graph_id)
-            SELECT graph_id, md5(context) AS digest, length(context) AS n_chars FROM j""",
+        "details_context": with_cur + """, n AS (SELECT graph_id, CAST(ceil(count(*) / 50) AS BIGINT) AS requests FROM cur WHERE kind = 'Class' GROUP BY graph_id),
+            said AS (SELECT graph_id, ('0x' || substr(md5(node_id), 1, 8))::BIGINT % requests AS request, node_id, concat(kind, ' ', qualified_name, ': ', coalesce(nullif(docstring, ''), nullif(logic_skeleton, ''), nullif(signature, ''), '')) AS item
+                FROM cur JOIN n USING (graph_id) WHERE kind = 'Class'),
+            j AS (SELECT graph_id, request, array_to_string(list_filter(list_transform(list(item ORDER BY node_id), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' | ') AS context FROM said GROUP BY graph_id, request)
+            SELECT graph_id, request, md5(context) AS digest, length(context) AS n_chars FROM j""",
+        "details_metadata": """SELECT node_id, unnest(r) FROM (SELECT node_id, arg_max({'source_path': source_path, 'line_start': line_start, 'line_end': line_end, 'is_async': metadata.is_async, 'is_method': metadata.is_method,
+            'returns_annotation': metadata.returns_annotation, 'annotation': metadata.annotation, 'position': metadata.position, 'parameter_kind': metadata.parameter_kind, 'origin': metadata.origin, 'example_source': metadata.example_source}, updated_at) AS r
+            FROM nodes WHERE node_id IS NOT NULL GROUP BY node_id)""",
+        "embedding_dimensions": with_cur + """, f AS (SELECT graph_id, arg_min(len(embedding), node_id) AS dimensions FROM cur WHERE embedding IS NOT NULL GROUP BY graph_id)
+            SELECT c.graph_id, any_value(dimensions) AS dimensions, count(*) FILTER (len(embedding) <> dimensions) AS n_other FROM cur c JOIN f ON c.graph_id IS NOT DISTINCT FROM f.graph_id WHERE embedding IS NOT NULL GROUP BY c.graph_id""",
+        "stream_link_counts": "SELECT strftime(loaded_at, '%Y-%m-%d') AS day, upper(trim(type)) AS type, count(*) AS n FROM edges WHERE loaded_at IS NOT NULL GROUP BY ALL",
         "counts_by_kind7": with_cur + f"SELECT graph_id, {seven} FROM cur GROUP BY graph_id",
         "counts_by_kind4": with_cur + f"SELECT graph_id, {four} FROM cur GROUP BY graph_id",
         "list_graphs": with_cur + _LISTED.format("true", 50),

@@ -12,10 +12,11 @@ from graphweft.operators.merge import current_rows
 def replace_graphs(df: DataFrame, path: str) -> None:
     """Replace the partitions of exactly those graphs that ``df`` has rows of; others stay as they are.
 
-    Sorted by kind within files, so that kind filters skip row groups. ``df`` needs a ``graph_id`` column.
+    Sorted by kind within files, so that kind filters skip row groups. ``df`` needs a ``graph_id`` column. Rows are
+    rebalanced by graph: small graphs come as one file each, a hot graph is split over many tasks and files.
     """
     order = [c for c in ("kind", "qualified_name", "type") if c in df.columns]
-    rows = df.where(F.col("graph_id").isNotNull())
+    rows = df.where(F.col("graph_id").isNotNull()).hint("rebalance", "graph_id")
     rows.sortWithinPartitions("graph_id", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(path)
 
 

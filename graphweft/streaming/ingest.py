@@ -29,8 +29,25 @@ def ingest_stream(spark: SparkSession, inbox: str, target: str, checkpoint: str)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def link_counts(spark: SparkSession, inbox: str, schema, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Arriving links per window of their load time and type, with a watermark for late rows."""
-    stream = spark.readStream.schema(schema).parquet(inbox)
-    rows = stream.withColumn("at", F.col("loaded_at").cast("timestamp")).withWatermark("at", late)
-    return rows.groupBy(F.window("at", window), F.upper(F.trim("type")).alias("type")).agg(F.count("*").alias("n"))
+def link_counts(links: DataFrame, window: str = "1 hour") -> DataFrame:
+    """``starts_at, type, n``: links per window of their load time and type; of a table or of a stream.
+
+    The state is as large as windows x types, whatever the number of links. Late rows count in their window; rows
+    with a null time count nowhere, a null type is a type.
+    """
+    rows = links.select(F.col("loaded_at").cast("timestamp").alias("at"), F.upper(F.trim("type")).alias("type")).where("at is not null")
+    return rows.groupBy(F.window("at", window).alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("starts_at"), "type", "n")
+
+
+def count_arrivals(spark: SparkSession, inbox: str, schema, target: str, checkpoint: str, window: str = "1 hour", names: str = "*") -> StreamingQuery:
+    """Read Parquet files of links as they arrive and keep the counts of all windows at ``target`` up to date.
+
+    ``inbox`` is a folder, ``names`` a pattern for the names of its files.
+    Each micro-batch replaces the table of counts, so a batch that runs again after a failure changes nothing.
+    """
+    counts = link_counts(spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(inbox), window)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -87,7 +87,7 @@ def test_details(spark):
     nodes = spark.createDataFrame([("a", "g", "Class", "A", "m.A", None, "doc", None, "src"), ("b", "g", "Class", "B", "m.B", "sig", "", "x -> y", None)], "node_id string, graph_id string, kind string, name string, qualified_name string, signature string, docstring string, logic_skeleton string, source_excerpt string")
     got = {r.node_id: r for r in details.nodes_by_ids(nodes, Details(("a", "zz"), excerpt=True, docstring=False)).collect()}
     assert set(got) == {"a"} and got["a"].docstring is None and got["a"].source_excerpt == "src"
-    assert details.context(nodes).first().context == "Class m.A: doc | Class m.B: x -> y"
+    assert details.context(details.in_requests(nodes)).first().context == "Class m.A: doc | Class m.B: x -> y"
     asked = spark.createDataFrame([(0, "zz"), (1, "a"), (2, "zz")], "pos int, node_id string")
     assert sorted(tuple(r) for r in details.missing_ids(asked, nodes).collect()) == [(0, "zz"), (2, "zz")]
     edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("b", "c", "X"), ("c", "d", "X"), ("a", None, "X")], "source_node_id string, target_node_id string, type string")
@@ -95,9 +95,26 @@ def test_details(spark):
     assert sorted(tuple(r) for r in details.expand(edges, asked.where("pos = 1").select("node_id"), 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_requests_stay_small(spark):
+    many = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("g"), F.col("id") % 90)).otherwise("hot").alias("graph_id"))
+    sizes = [r["count"] for r in details.in_requests(many).groupBy("graph_id", "request").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 100
+
+
+def test_hot_graph_is_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        store.replace_graphs(spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("type"), F.lit("hot").alias("graph_id")), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = store.read_graphs(spark, path)
+    assert rows.count() == 20000 and rows.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_catalog_of_nothing(spark):
     empty = spark.createDataFrame([], "node_id string, graph_id string, kind string, name string, version string, status string, updated_at timestamp, embedding array<double>")
-    assert catalog.list_graphs(empty).collect() == [] and catalog.rebuild_counts(empty).collect() == []
+    assert catalog.list_graphs(empty).collect() == [] and catalog.embedding_dimensions(empty).collect() == [] and catalog.rebuild_counts(empty).collect() == []
     names = spark.createDataFrame([("Numpy",), ("annotated",), ("annumba",), (None,)], "n string").select("n", catalog.name_filter(F.col("n"), " nu ").alias("r"))
     assert {(r.n, r.r) for r in names.collect() if r.r is not None} == {("Numpy", 0), ("annumba", 1)}
 
@@ -139,3 +156,15 @@ def test_stream(spark, tmp_path):
     ingest.ingest_stream(spark, inbox, target, str(tmp_path / "cp")).awaitTermination()
     got = {(r.graph_id, r.kind, r.name) for r in store.read_graphs(spark, f"{target}/nodes").collect()}
     assert got == {("a", "Module", "m"), ("a", "Function", "g"), ("b", "Module", "m"), ("b", "Class", "K")}
+
+
+def test_stream_counts(spark, tmp_path):
+    inbox, target, schema = str(tmp_path / "in"), str(tmp_path / "out"), "type string, loaded_at timestamp"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+    run = lambda: ingest.count_arrivals(spark, inbox, spark.read.parquet(inbox).schema, target, str(tmp_path / "cp"), "1 day").awaitTermination()
+    put((" calls", datetime(2024, 1, 1, 3)), ("CALLS", datetime(2024, 1, 1, 4)), (None, datetime(2024, 1, 1)), ("CALLS", None))
+    run()
+    put(("calls", datetime(2023, 5, 1)), ("calls", datetime(2024, 1, 1, 23)))  # late rows
+    run()
+    got = {(r.starts_at.day, r.starts_at.year, r.type, r.n) for r in spark.read.parquet(target).collect()}
+    assert got == {(1, 2024, "CALLS", 3), (1, 2024, None, 1), (1, 2023, "CALLS", 1)}
