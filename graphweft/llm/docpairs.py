@@ -8,6 +8,7 @@ documentation is an island language of its own: examples, directives, section he
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,13 +17,14 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- islands of source code
 
-_PY_DEF = re.compile(r"^([ \t]*)((?:async[ \t]+)?def)[ \t]+([^\W\d]\w*)[ \t]*(?=[(\[])", re.M)
-_PY_CLASS = re.compile(r"^([ \t]*)class[ \t]+([^\W\d]\w*)")
+_PY_HEAD = re.compile(r"^([ \t]*)(?:((?:async[ \t]+)?def)[ \t]+([^\W\d]\w*)[ \t]*(?=[(\[])|class[ \t]+([^\W\d]\w*))", re.M)
+_LINE = re.compile(r"([ \t]*)([^\n]*)\n?")
 _PY_WATER = re.compile(r"#[^\n]*|(?:[rRbBfFuUtT]{0,2})(\"\"\"|'''|\"|')")
 _PY_DOC = re.compile(r"\s*(?:#[^\n]*\s*)*([rRuU]?)(\"\"\"|'''|\"|')")
 _BRACE_DOC = re.compile(r"/\*\*(?P<block>.*?)\*/|(?P<lines>(?:^[ \t]*//[/!][^\n]*\n?)+)", re.S | re.M)
 _BRACE_NOTES = re.compile(r"\s*(?:@\w[\w.]*(?:\([^()]*\))?\s+|#\[[^\]]*\]\s+)*")
 _BRACE_NAME = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>(){}]*>)?\s*\(")
+_BRACE_END = re.compile(r"[;{}]")
 _NO_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "function", "func", "fn"}
 
 
@@ -72,47 +74,47 @@ def _balanced(text: str, at: int, python: bool) -> int:
 def python_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
     """(qualified name, signature, documentation, code) of every function and method."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    water = []  # strings and comments, in which no definition begins
+    water, ends = [], []  # strings and comments, in which no definition begins
     i = 0
     while m := _PY_WATER.search(text, i):
         i = _string_end(text, m.end(), m[1]) if m[1] else m.end()
-        water.append((m.start(), i))
-    w, outer = 0, []
-    for m in _PY_DEF.finditer(text):
-        while w < len(water) and water[w][1] <= m.start():
-            w += 1
-        if w < len(water) and water[w][0] <= m.start():
+        water.append(m.start())
+        ends.append(i)
+
+    def wet(at: int) -> bool:
+        k = bisect_left(water, at) - 1
+        return k >= 0 and at < ends[k]
+
+    outer: list[tuple[int, str]] = []  # indents and names of the classes and functions around
+    for m in _PY_HEAD.finditer(text):
+        if wet(m.start()):
             continue
         indent = len(m[1].expandtabs())
-        # names around it: classes and functions that begin before and are indented less
-        head = text[: m.start()]
-        while outer and (outer[-1][0] >= indent):
+        while outer and outer[-1][0] >= indent:
             outer.pop()
-        for line in head[outer[-1][2] if outer else 0 :].split("\n"):
-            if k := _PY_CLASS.match(line):
-                depth = len(k[1].expandtabs())
-                while outer and outer[-1][0] >= depth:
-                    outer.pop()
-                if depth < indent:
-                    outer.append((depth, k[2], m.start()))
-        at = text.index("(", m.end() - 1) if text[m.end() - 1 : m.end()] == "(" or "(" in text[m.end() :] else m.end()
-        closed = _balanced(text, text.find("(", m.end() - 1) if at < 0 else at, True)
+        outer.append((indent, m[3] or m[4]))
+        if m[4]:
+            continue
+        at = text.find("(", m.end())
+        closed = _balanced(text, at, True) if at >= 0 else len(text)
         colon = text.find(":", closed)
-        while 0 <= colon < len(text) and "[" in text[closed:colon] and text[closed:colon].count("[") > text[closed:colon].count("]"):
+        while colon >= 0 and text.count("[", closed, colon) > text.count("]", closed, colon):
             colon = text.find(":", colon + 1)
         colon = len(text) if colon < 0 else colon
         doc = None
         if d := _PY_DOC.match(text, colon + 1):
             end = _string_end(text, d.end(), d[2])
             doc = text[d.end() : end - len(d[2])] if text[end - len(d[2]) : end] == d[2] and end > d.end() else text[d.end() : end]
-        end = colon + 1
-        for line in text[colon + 1 :].splitlines(keepends=True):
-            if end > colon + 1 and line.strip() and len(line.expandtabs()) - len(line.expandtabs().lstrip()) <= indent and not any(a < end < b for a, b in water[w : w + 50]):
+        # the body: lines that are indented more or lie in a string; comments at any indent do not end it
+        line = _LINE.match(text, min(colon + 1, len(text)))
+        end = line.end()
+        while line.end() < len(text):
+            line = _LINE.match(text, line.end())
+            if wet(line.start()) or (line[2] and len(line[1].expandtabs()) > indent):
+                end = line.end()
+            elif line[2] and not line[2].startswith("#"):
                 break
-            end += len(line)
-        name = ".".join([o[1] for o in outer] + [m[3]])
-        outer.append((indent, m[3], m.start()))
-        yield name, text[m.start(2) : colon], doc, text[m.start() : end].rstrip()
+        yield ".".join(name for _, name in outer), text[m.start(2) : colon], doc, text[m.start() : end].rstrip()
 
 
 def brace_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
@@ -120,10 +122,12 @@ def brace_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
     for m in _BRACE_DOC.finditer(text):
         doc = re.sub(r"(?m)^[ \t]*(?:\*(?!/)|//[/!])[ \t]?", "", m["block"] or m["lines"])
         at = _BRACE_NOTES.match(text, m.end()).end()
-        name = _BRACE_NAME.search(text, at, at + 400)
+        body = _BRACE_END.search(text, at)
+        end = body.start() if body else len(text)
+        name = _BRACE_NAME.search(text, at, end)
         while name and name[1] in _NO_NAMES:
-            name = _BRACE_NAME.search(text, name.end(), at + 400)
-        if not name or re.search(r"[;{}]", text[at : name.start()]):
+            name = _BRACE_NAME.search(text, name.end(), end)
+        if not name:
             continue
         closed = _balanced(text, name.end() - 1, False)
         body = re.compile(r"[^;{}]*").match(text, closed).end()

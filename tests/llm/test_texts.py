@@ -48,7 +48,12 @@ def test_islands():
     assert got["K.second"][1] == "See base class." and got["K.third"][1] is None
     for _, _, code in got.values():
         ast.parse("\n".join(line.removeprefix("    ") if code.startswith("    ") else line for line in code.split("\n")) if "1: 2}" not in code else "pass")
+    body = "def f(a):\n" + "    a += 'x'  # more\n" * 90 + "# at the edge\n    b = \"\"\"\nno end\n\"\"\"\n    return b\n"
+    islands = list(docpairs.python_islands(body + "# of g\ndef g[T](x: T) -> dict[str, T]: return x\nx = 1\n"))
+    assert [(i[0], i[3]) for i in islands] == [("f", body.rstrip()), ("g", "def g[T](x: T) -> dict[str, T]: return x")]
     java = list(docpairs.brace_islands(JAVA))
+    far = next(docpairs.brace_islands("/** Adds. */\n" + "public " * 100 + "int add(int a) { return a; }"))
+    assert far[0] == "add" and far[3].endswith("return a; }")
     assert [j[0] for j in java] == ["add", "empty"] and java[0][3].endswith('return "}".length(); }')
 
 
