@@ -2,8 +2,10 @@
 
 All words of an Arrow batch are coded as integers and looked at together. A word pair's recurrence gap is the
 distance to the same pair before it; keyword stuffing repeats pairs of content words at short gaps, which prose
-does not. The positional autocorrelation at small lags finds strict repetition of any words. Lists of distinct
-nouns have no function words. Each signal is averaged over windows of words, and a page is spam where
+does not. Regular repetition of any words is told by the gaps themselves, whatever their length: neighbouring
+pairs share a gap, and the pairs that it leads to share a gap as well, so a block stands three times or more
+(twice is a copy). The positional autocorrelation at small lags finds what repeats with words exchanged. Lists of
+distinct nouns have no function words. Each signal is averaged over windows of words, and a page is spam where
 the flagged words and links outweigh the sentences and code.
 """
 
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 
 #: Words of a window (about) over which the averages are taken.
 WINDOW = 24
-#: A pair of content words counts as repeated up to this gap (in words).
+#: A pair of content words counts as crowded up to this gap (in words); regular repetition knows no such limit.
 GAP = 40
 LAGS = range(1, 13)
 #: Averages from which a word belongs to stuffing: repeated pairs, equal words at one lag, and function words at most.
 REPEATED, PERIODIC, FUNCTION = 0.3, 0.6, 0.1
+#: Share of a window's words from which a gap is one of the window.
+SHARED = 0.25
 #: Function words at most in a text that is a list as a whole.
 LISTED = 0.12
 SHARE = 0.6
@@ -59,16 +63,39 @@ class _Codes(dict):
         return code
 
 
-def _gaps(key: np.ndarray) -> np.ndarray:
-    """Distance in places of each key to the same key before it (a large number for none); key holds its place."""
-    order = np.argsort(key[:, 0], kind="stable")
-    k, place = key[order, 0], key[order, 1]
-    gap = np.full(len(key), 1 << 30, dtype=np.int64)
+#: The gap of a pair that did not stand before.
+NONE = 1 << 30
+
+
+def _gaps(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Distance in places of each key to the same key before it (NONE for none)."""
+    order = np.argsort(key, kind="stable")
+    k, at = key[order], place[order]
+    gap = np.full(len(key), NONE, dtype=np.int64)
     same = k[1:] == k[:-1]
-    gap[order[1:][same]] = (place[1:] - place[:-1])[same]
+    gap[order[1:][same]] = (at[1:] - at[:-1])[same]
     return gap
 
 
+def _regular(gap: np.ndarray, window: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which words stand in a block that comes three times or more, by the gap of the pair that each word begins.
+
+    ``window`` is each word's window, ``words`` the number of words of each window.
+    """
+    at = np.flatnonzero(gap < NONE)
+    _, which, count = np.unique(window[at] * NONE + gap[at], return_inverse=True, return_counts=True)
+    shared = np.zeros(len(gap), dtype=bool)
+    shared[at] = count[which] >= np.maximum(3, SHARED * words[window[at]])
+    # a pair, the one before it and the one before that
+    last = np.flatnonzero(shared)
+    last = last[shared[last - gap[last]]]
+    middle = last - gap[last]
+    regular = np.zeros(len(gap) + 1, dtype=bool)
+    for k in (last, middle, middle - gap[middle]):
+        regular[k] = regular[k + 1] = True
+    return regular[:-1]
+
+
 def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of each text: the share of its letters in stuffing, in links, and its strongest autocorrelation."""
     n = len(texts)
@@ -93,9 +120,11 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     if not len(w):
         return np.zeros(n), links, np.zeros(n)
     function = function[w]
-    pair = np.flatnonzero(~function[:-1] & ~function[1:] & (d[:-1] == d[1:]))
+    pair = np.flatnonzero(d[:-1] == d[1:])
     # a pair recurs within its own text only; texts and words of a part are so few that the key fits 64 bits
-    near = pair[_gaps(np.stack([(d[pair] * len(codes) + w[pair]) * len(codes) + w[pair + 1], pair], axis=1)) <= GAP]
+    gap = np.full(len(w), NONE, dtype=np.int64)
+    gap[pair] = _gaps((d[pair] * len(codes) + w[pair]) * len(codes) + w[pair + 1], pair)
+    near = pair[~function[pair] & ~function[pair + 1] & (gap[pair] <= GAP)]
     again = np.zeros(len(w), dtype=np.int32)
     again[near] = again[near + 1] = 1
     # windows of about equal length, none over the end of a text
@@ -113,7 +142,10 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
         equal[lag:] = (w[lag:] == w[:-lag]) & (d[lag:] == d[:-lag])
         periodic = np.maximum(periodic, share(equal))
         strongest = np.maximum(strongest, np.bincount(d[equal], minlength=n) / counts)
-    stuffed = (share(again) >= REPEATED) | (periodic >= PERIODIC) | (share(function) <= FUNCTION)
+    regular = _regular(gap, window, np.diff(np.r_[starts, len(w)]))
+    # sentences of one pattern repeat their frame but not their content words
+    blocks = (share(regular) >= PERIODIC) & (share(regular & ~function) >= PERIODIC * share(~function))
+    stuffed = (share(again) >= REPEATED) | (periodic >= PERIODIC) | blocks | (share(function) <= FUNCTION)
     # a text with next to no function words is a list as a whole, though single windows may hold some
     listed = (np.bincount(d[function], minlength=n) / counts <= LISTED)[d]
     return letters(at[stuffed[window] | listed]) / total * enough, links, strongest

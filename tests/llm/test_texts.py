@@ -225,6 +225,22 @@ def test_spam(text, want):
     assert bool(stuffed[1] + link[1] > spam.SHARE) is want
 
 
+ADVERT = "If you are in need of a new sensor for the old house then we have the one that you want and it will be with you by the end of the week or the next, which is more than any of the other shops in town can say of their own, as most of them do not even have it in store at all."
+
+
+def test_spam_of_long_blocks():
+    assert 60 <= len(ADVERT.split()) <= 70
+    rng = random.Random(2)
+    long = " ".join(rng.choices(["and", "of", "the", "when", "it", "is"] * 15 + [f"{a}{b}{c}o" for a in "bcdfgklm" for b in ("an", "er", "ist", "ul") for c in "npstr"], k=1500))
+    jitter = " ".join(f"{ADVERT} {'So it is. ' * (i % 3)}" for i in range(50))
+    for text in (" ".join([ADVERT] * 50), " ".join([ADVERT] * 3), jitter, " ".join([long] * 4)):
+        stuffed, link, _ = spam.spam_shares(["x", text, PROSE])
+        assert stuffed[1] > spam.SHARE and stuffed[2] == 0
+    pattern = " ".join(f"If the {a} has no {b}, the empty {c} is used and a warning names the {d}." for a, b, c, d in ("credit anchor log value".split(), "marker payload notice snapshot".split(), "flag resolver lock kernel".split()))
+    assert spam.spam_shares([pattern])[0][0] == 0
+    assert not any(spam.spam_shares([f"{ADVERT} {PROSE}", f"{ADVERT} {PROSE} {ADVERT} {PROSE}"])[0])  # once, and a copy
+
+
 def test_spam_of_neighbouring_texts():
     sentence = "Two option objects compare equal when their relay and policy fields match."
     alone = spam.spam_shares([sentence])
