@@ -154,20 +154,28 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
 
+# Where a deferral points (with a name, or that of which it is a part), and what may stand after it.
+_PLACE = r"(?:above|below|base|super|parent|module|class|superclass|docs?|documentation|interface|readme|manual|source|code|spec|elsewhere|method|function)"
+_NAMED = r"(?:`[^`]*`|[\w.]*[._][\w.]*\w|(?-i:[A-Z]\w*))"
+_TARGET = rf"{_PLACE}(?:['’]s?)?(?:\s{_PLACE}(?:['’]s?)?|\s{_NAMED}|\s(?:and|or)\s(?:the\s)?{_PLACE}|\s(?:of|in|on|from)\s(?:the\s|its\s|this\s)?(?:{_PLACE}|{_NAMED}))*"
+_FURTHER = r"(?:,?\s(?:for|on)(?:\s(?:the|its|more|further|full|all|any|other|complete|a))*\s(?:rest|details?|information|info|more|usage|descriptions?|documentation|docs|explanations?|examples?|references?|parameters|arguments))?(?:\s(?:instead|please|there))?"
+
 # Sentences that put off, refer elsewhere or talk to a tool instead of describing.
 _EMPTY_SENTENCE = re.compile(
-    r"""^\W*(?:
+    rf"""^\W*(?:
     (?:todo|fixme|xxx|tbd|tba|wip|hack)\b.*
   | (?:n/?a|none|null|nil|nothing(?:\shere)?|undocumented|docstring|documentation|description|inherit(?:ed|s)?|placeholder|stub|empty|deprecated|internal|private|ditto)
   | (?:(?:auto-?\s?(?:matically\s)?)?generated\b.*)
   | (?:docstring|documentation|description|text|comment|summary)\s(?:goes|comes|to\sfollow|follows|pending|here)\b.*
-  | (?:no|missing|lacks?|needs?|without|add|write|insert|empty)\s(?:\w+\s)?(?:documentation|docs?|docstrings?|description|comments?)\b.*
+  | (?:no|missing|lacks?|needs?|without|empty)\s(?:\w+\s)?(?:documentation|docs?|docstrings?|description|comments?)(?:\s(?:is|are|was|were|has|have|been|yet|available|provided|given|needed|required|necessary|exists?|present|found|written|here|so\sfar|at\sall|currently|for\snow|(?:for|of)\sth(?:is|e)\s(?:function|method|class|module)))*
+  | (?:add|write|insert)\s(?:(?:the|a|an|some|more|proper|missing|your)\s)?(?:documentation|docs?|docstrings?|descriptions?|comments?)(?:\s(?:here|later|soon|now|please))?
   | (?:to\sbe|not(?:\syet)?)\s(?:documented|described|written|done|added|implemented)\b.*
   | (?:inherits?|inherited|copied|taken)\s(?:the\s)?(?:docs?|docstring|documentation|from)\b.*
-  | (?:see|refer\sto|cf\.?|look\sat|consult|check|same\sas|as\sin|as\sabove|like\sin|overrides?|implements?)\s(?:also\s)?(?:the\s|its\s)?(?:[\w.]+\s){0,3}?(?:above|below|base|super|parent|module|class|superclass|docs?|documentation|interface|readme|manual|source|code|spec|elsewhere|method|function)\b.*
+  | (?:see|refer\sto|cf\.?|look\sat|consult|same\sas|as\sin|as\sabove|like\sin)\s(?:also\s)?(?:the\s|its\s)?(?!(?:that|whether|if|how|why|what|when|where|which|who)\b)(?:[\w.]+\s){{0,3}}?{_TARGET}{_FURTHER}
+  | (?:check|overrides?|implements?)\s(?:also\s)?(?:the\s|its\s)?{_TARGET}{_FURTHER}
   | (?:see|refer\sto)\s:?\w*:?`[^`]*`\W*
   | (?:noqa|type:\s?ignore|pylint\b|flake8\b|mypy\b|isort\b|pragma\b|fmt\b|ruff\b|nosec|coding|pyright\b|yapf\b|nopep8).*
-  | siehe\b.{0,40} | voir\b.{0,40} | véase\b.{0,40} | ver\s(?:la|el)\b.{0,30} | idem\b.{0,20} | wie\soben\W* | (?:à|a)\s(?:faire|compléter)\b.* | por\s(?:hacer|documentar)\b.* | pendiente\b.{0,20} | fehlt\b.{0,20} | noch\s(?:offen|zu)\b.{0,30} | nicht\sdokumentiert\W* | sans\sdocumentation\W* | sin\sdocumentaci[oó]n\W*
+  | siehe\b.{{0,40}} | voir\b.{{0,40}} | véase\b.{{0,40}} | ver\s(?:la|el)\b.{{0,30}} | idem\b.{{0,20}} | wie\soben\W* | (?:à|a)\s(?:faire|compléter)\b.* | por\s(?:hacer|documentar)\b.* | pendiente\b.{{0,20}} | fehlt\b.{{0,20}} | noch\s(?:offen|zu)\b.{{0,30}} | nicht\sdokumentiert\W* | sans\sdocumentation\W* | sin\sdocumentaci[oó]n\W*
     )\W*$""",
     re.I | re.X | re.S,
 )

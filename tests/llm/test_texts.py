@@ -71,6 +71,20 @@ def test_described(doc, want):
     assert docpairs.described(doc, "pkg.load_key", "load_keykey: int") is want
 
 
+@pytest.mark.parametrize(
+    ("doc", "want"),
+    [
+        ("Check that the module is importable and return its resolved path.", True), ("Implements the retry method with exponential backoff and returns the last response.", True),
+        ("Check whether source rows still match the cached checksum.", True), ("Add a comment to the ticket and return its id.", True), ("Write the docs index to disk and return the number of pages.", True),
+        ("Overrides the base limit while a class is loaded.", True), ("Insert comment lines before every branch.", True), ("See whether the source still answers.", True), ("No comment survives, blank lines neither.", True), ("Same as the base method but keeps empty keys.", True),
+        ("See base class for the rest.", False), ("See the parent class for more details.", False), ("See module docs.", False), ("Same as above.", False), ("Check the docs.", False), ("Overrides the base class method.", False), ("Implements the interface.", False), ("See the documentation of the base class.", False), ("See class Store for details.", False),
+        ("Refer to the method `load` of the superclass.", False), ("Look at the source code instead.", False), ("Add documentation.", False), ("Write docs here.", False), ("Insert description here", False), ("Missing documentation.", False), ("No documentation available.", False), ("Needs a docstring.", False), ("No description is available for this function.", False),
+    ],
+)
+def test_deferrals_end_after_their_target(doc, want):
+    assert docpairs.described(doc, "pkg.load_key", "load_keykey: int") is want
+
+
 def test_documented_functions(spark):
     rows = [("a", "Reads all bytes of it.", "f", None, "def f(x):\n    pass"), ("b", "TODO", "f", "f", None), ("c", None, None, None, None), (None, "Reads all bytes of it.", None, None, None)]
     df = spark.createDataFrame(rows, "i string, d string, n string, s string, c string").withColumn("name", F.lit(1))
