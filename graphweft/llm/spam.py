@@ -33,7 +33,7 @@ LISTED = 0.12
 SHARE = 0.6
 #: Letters that are looked at together.
 CHARS = 4_000_000
-#: Texts of fewer words and links are not judged.
+#: Of texts of fewer words and links only links and tags are judged, as their words tell nothing.
 LEAST_WORDS = 5
 
 # Function words of English, French, German and Spanish.
@@ -50,6 +50,9 @@ FUNCTION_WORDS = frozenset(
 )
 
 _TOKEN = re.compile(r"https?://[^\s)\]>\"'\x00]+|```|[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d.,]*|\x00")
+_FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
+#: Marks of tags: words behind a number sign, and the list behind a label.
+_TAGS = re.compile(r"(?<![\w#&/])#[^\W\d]\w*(?:-\w+)*|\b(?:tags?|keywords?|hashtags?|labels?)\s*:[^\n.]*", re.I)
 
 
 class _Codes(dict):
@@ -116,9 +119,13 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero((code > 1) & ~link & ~coded)
     w, d = code[at], doc[at]
     enough = np.bincount(doc[(code > 1) & ~coded], minlength=n) >= LEAST_WORDS
-    links = letters(link & ~coded) / total * enough
+    links = letters(link & ~coded) / total
+    tagged = np.zeros(n)
+    for k in np.flatnonzero(~enough):
+        plain = _FENCED.sub(" ", texts[k])
+        tagged[k] = sum(len(t) for m in _TAGS.findall(plain) for t in _TOKEN.findall(m) if "://" not in t) / total[k]
     if not len(w):
-        return np.zeros(n), links, np.zeros(n)
+        return tagged, links, np.zeros(n)
     function = function[w]
     pair = np.flatnonzero(d[:-1] == d[1:])
     # a pair recurs within its own text only; texts and words of a part are so few that the key fits 64 bits
@@ -148,7 +155,7 @@ def spam_shares(texts: list[str]) -> tuple[np.ndarray, ...]:
     stuffed = (share(again) >= REPEATED) | (periodic >= PERIODIC) | blocks | (share(function) <= FUNCTION)
     # a text with next to no function words is a list as a whole, though single windows may hold some
     listed = (np.bincount(d[function], minlength=n) / counts <= LISTED)[d]
-    return letters(at[stuffed[window] | listed]) / total * enough, links, strongest
+    return np.where(enough, letters(at[stuffed[window] | listed]) / total, tagged), links, strongest
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
@@ -167,8 +174,8 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 def spam_pages(pages: DataFrame, *, id_col: str, text_col: str, share: float = SHARE) -> DataFrame:
     """Pages that are mostly keywords, links or tags: ``id, stuffed_share, link_share, periodicity``.
 
-    Whole texts are read. Null, blank and very short texts (fewer than five words and links) are no spam;
-    copies and repeated rows count each; an empty table gives an empty result.
+    Whole texts are read. Null and blank texts are no spam; very short ones (fewer than five words and links)
+    are where links and tags make them up, whatever their words; copies and repeated rows count each; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

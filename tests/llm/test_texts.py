@@ -255,6 +255,20 @@ def test_spam_of_long_blocks():
     assert not any(spam.spam_shares([f"{ADVERT} {PROSE}", f"{ADVERT} {PROSE} {ADVERT} {PROSE}"])[0])  # once, and a copy
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("https://a.example/x", True), ("https://a.example/x\nhttps://b.example/y http://c.example", True), ("#sale #sensor", True), ("#Cheap-Sensor", True), ("Tags: sensor, relay", True), ("see https://a.example/x", True), ("#tag https://a.example", True),
+        ("Fixed in #12.", False), ("# Overview", False), ("Reads one entry.", False), ("ok", False), ("```\n#tag\n```", False), ("```\nhttps://a.example/x\n```", False), ("C# and F#", False), ("Uses the tag #x", False), ("", False),
+    ],
+)
+def test_spam_of_few_words(text, want):
+    for texts in ([text], ["x", text, PROSE]):
+        stuffed, link, _ = spam.spam_shares(texts)
+        k = texts.index(text)
+        assert bool(stuffed[k] + link[k] > spam.SHARE) is want and stuffed[k] + link[k] <= 1
+
+
 def test_spam_of_neighbouring_texts():
     sentence = "Two option objects compare equal when their relay and policy fields match."
     alone = spam.spam_shares([sentence])
