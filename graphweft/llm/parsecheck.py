@@ -144,12 +144,37 @@ def _fails(parse: Callable[[str], object], text: str) -> bool:
             parse(text)
         except (SyntaxError, ValueError):
             return True
-        except (RecursionError, MemoryError):  # nested too deeply for this parser, which is no error of the text
-            return False
+        except (RecursionError, MemoryError):  # nested too deeply for this parser, so the whole file tells
+            return True
     return False
 
 
 WHOLE = {"python": ast.parse, "json": _parse_json, "toml": tomllib.loads}
+#: Long runs of unary operators, which are as valid as two of them.
+_UNARY = re.compile(r"((?:[-+~][ \t]*){2})(?:[-+~][ \t]*){50,}|(\bnot[ \t]+)(?:not[ \t]+){50,}")
+
+
+def invalid(language: str, text: str) -> bool:
+    """Whether a whole text does not parse.
+
+    Where it is nested too deeply for the parser, which is no error of the text, its summary tells: it is
+    invalid if it ends inside of a string or at a depth other than 0.
+    """
+    parse = WHOLE[language]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            try:
+                parse(text)
+            except (RecursionError, MemoryError):
+                if language != "python" or not _UNARY.search(text):
+                    raise
+                parse(_UNARY.sub(lambda m: m[1] or m[2], text))
+        except (SyntaxError, ValueError):
+            return True
+        except (RecursionError, MemoryError):
+            return summary(language, text)[0] != (0, 0)
+    return False
 
 
 def _judge_json(piece: str, first: bool, last: bool) -> tuple[bool, list[str]]:
@@ -176,7 +201,7 @@ def _judge_toml(piece: str) -> tuple[bool, list[str]]:
     """Facts are the keys that the section sets; ``!`` marks what can only be told from the whole file."""
     try:
         found = tomllib.loads(piece)
-    except ValueError:
+    except (ValueError, RecursionError, MemoryError):
         return True, []
     facts, prefix = [], ""
     if (head := re.match(r"\s*(\[{1,2})", piece)) is not None:
@@ -320,7 +345,7 @@ def unparsable(files: DataFrame, *, id_col: str, path_col: str, text_col: str) -
     suspects = verdicts.where("bad or fact = '!'").select("id").unionByName(twice).unionByName(nested).unionByName(mixed).distinct()
 
     def exact(batches):
-        return _rows(batches, ["id", "language"], [s, s], lambda key, lang, text: [(key, lang)] if _fails(WHOLE[lang], text) else [])
+        return _rows(batches, ["id", "language"], [s, s], lambda key, lang, text: [(key, lang)] if invalid(lang, text) else [])
 
     return known.join(suspects, "id", "left_semi").mapInArrow(exact, "id string, language string")
 

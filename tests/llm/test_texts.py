@@ -123,6 +123,15 @@ def test_unparsable(spark, monkeypatch, size):
     assert got == bad, [rows[i] for i in got ^ bad]
 
 
+def test_unparsable_beyond_the_parsers_depth(spark):
+    n = 30_000
+    good = [("a.json", "[" * n + "]" * n), ("a.toml", "a = " + "[" * n + "]" * n), ("a.py", "x = " + "-" * n + "1\n"), ("b.py", "x = " + "not " * n + "1\n")]
+    bad = [("b.json", "[" * n), ("c.json", '{"a":' * n + '"x'), ("d.json", "[" * n + "]" * (n - 1)), ("b.toml", "a = " + "[" * n), ("c.py", "x = " + "-" * n + "\n"), ("d.py", "y = (" + "-" * n + "1\n"), ("e.py", "x = " + "not " * n + "\n")]
+    df = spark.createDataFrame([(p, p, t) for p, t in good + bad], "i string, p string, t string")
+    got = {r.id for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t").collect()}
+    assert got == {p for p, _ in bad}
+
+
 def test_summaries_are_associative():
     text = PY * 3
     for lang in ("python", "toml"):
