@@ -45,18 +45,53 @@ def reference_ends(links: DataFrame, link_id: str, ends: dict[str, str], loaded:
     )
 
 
-def _pack(codes: np.ndarray, bits: int) -> np.ndarray:
-    """A packed bitmap of ``bits`` bits with ``codes`` set."""
-    flags = np.zeros(bits, dtype=bool)
-    flags[codes] = True
-    return np.packbits(flags)
+Bitmap = tuple[str, np.ndarray]
+
+
+def compressed(codes: np.ndarray, bits: int) -> Bitmap:
+    """The bitmap over ``bits`` bits of sorted distinct ``codes``: as runs, codes or packed bits, whichever is smallest."""
+    small = np.uint16 if bits <= 65_536 else np.uint32
+    cuts = np.flatnonzero(np.diff(codes) != 1) + 1
+    runs = np.stack([codes[np.r_[0, cuts]], codes[np.r_[cuts - 1, len(codes) - 1]]]) if len(codes) else np.empty((2, 0))
+    if min(runs.size, len(codes)) * np.dtype(small).itemsize >= bits / 8:
+        flags = np.zeros(bits, dtype=bool)
+        flags[codes] = True
+        return "bits", np.packbits(flags)
+    return ("runs", runs.astype(small)) if runs.size < len(codes) else ("codes", codes.astype(small))
+
+
+def decoded(bitmap: Bitmap) -> np.ndarray:
+    """The sorted codes of a bitmap."""
+    kind, data = bitmap
+    if kind == "bits":
+        return np.flatnonzero(np.unpackbits(data))
+    if kind == "codes":
+        return data.astype(np.int64)
+    first, last = data.astype(np.int64)
+    size = last - first + 1
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def and_not(one: Bitmap, other: Bitmap) -> np.ndarray:
+    """The codes of ``one`` that ``other`` lacks; only packed bits are compared as such."""
+    (kind, data), (other_kind, other_data) = one, other
+    if kind == other_kind == "bits":
+        return decoded(("bits", data & ~other_data))
+    codes = decoded(one)
+    if other_kind == "bits":
+        return codes[(other_data[codes >> 3] >> (7 - (codes & 7))) & 1 == 0]
+    first, last = other_data if other_kind == "runs" else (other_data, other_data)
+    at = np.searchsorted(first, codes, side="right") - 1
+    inside = at >= 0
+    inside[inside] = codes[inside] <= last[at[inside]]
+    return codes[~inside]
 
 
 def _range_orphans(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one key range: the keys and periods whose reference bit survives AND NOT the living keys' bits.
 
-    A key's living bit in a period is set where no reference of that period can be an orphan: it was created
-    before the period's first reference to it and is not deleted before the last one.
+    A key lives in a period if its facts say so for all of the time between the first and the last load of the
+    period in this range; what is referenced does not matter. So no reference of a living key is an orphan.
     """
     t = pa.Table.from_batches(list(tables))
     code, kind = t["code"].to_numpy(), t["kind"].to_numpy()
@@ -69,17 +104,16 @@ def _range_orphans(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     keep = []
     for day in np.unique(days[refs]):
         rows = refs[days[refs] == day]
-        c = code[rows]
-        # the living bits of this period, only for the keys that it refers to
-        alive = (created[c] <= low[rows]) & ((deleted[c] > high[rows]) | (recreated[c] <= low[rows]))
-        left = np.unpackbits(_pack(c, bits) & ~_pack(c[alive], bits), count=bits).astype(bool)
-        keep.append(rows[left[c]])
+        first, last = low[rows].min(), high[rows].max()
+        living = compressed(np.flatnonzero((created <= first) & ((deleted > last) | (recreated <= first))), bits)
+        left = and_not(compressed(np.unique(code[rows]), bits), living)
+        keep.append(rows[np.isin(code[rows], left)])
     rows = np.concatenate(keep) if keep else np.empty(0, dtype=np.int64)
     yield from pa.table({"k": t["k"].take(pa.array(rows)), "day": t["day"].take(pa.array(rows))}).to_batches()
 
 
 def orphan_keys(facts: DataFrame, refs: DataFrame, n_keys: int) -> DataFrame:
-    """Keys and periods with at least one reference that is an orphan: ``k, period``.
+    """Keys and periods that may have a reference that is an orphan: ``k, period``; all those that have one.
 
     ``n_keys`` bounds the number of distinct keys; it only sets how many ranges there are.
     """

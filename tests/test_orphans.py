@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphweft.operators import orphans
@@ -45,3 +47,26 @@ def test_many_ranges(spark, monkeypatch):
     edges = [(i, f"s{i}", f"t{i}", day(1)) for i in range(100)]
     nodes = [(f"s{i}", day(0)) for i in range(100)] + [(f"t{i}", day(0)) for i in range(0, 100, 3)]
     assert run(spark, edges, nodes, []) == {(i, "target", "missing") for i in range(100) if i % 3}
+
+
+def test_compressed_bitmaps():
+    rng, bits = np.random.default_rng(4), 4000
+    sets = [np.arange(0), np.arange(bits), np.r_[5:1900, 2100:3999], np.array([0, 7, 3999]), np.flatnonzero(rng.random(bits) < 0.5), np.arange(1, bits, 2), np.array([3999])]
+    assert {orphans.compressed(x, bits)[0] for x in sets} == {"runs", "codes", "bits"}
+    for x in sets:
+        a = orphans.compressed(x, bits)
+        assert a[1].nbytes <= bits / 8 and list(orphans.decoded(a)) == list(x)
+        for y in sets:
+            assert list(orphans.and_not(a, orphans.compressed(y, bits))) == sorted(set(x) - set(y))
+    wide = np.array([3, 70_000, 99_999])
+    assert list(orphans.and_not(orphans.compressed(wide, 100_000), orphans.compressed(wide[:1], 100_000))) == [70_000, 99_999]
+
+
+def test_living_keys_come_from_the_facts_alone():
+    # key, code, kind, day, low, high, again: facts of a and b, references to both, of which only b changes in the period
+    far = int(orphans.FAR)
+    rows = [("a", 0, 0, 0, 1, far, far), ("b", 1, 0, 0, 15, far, far), ("a", 0, 1, 9, 10, 20, far), ("b", 1, 1, 9, 16, 20, far)]
+    names = ["k", "code", "kind", "day", "low", "high", "again"]
+    got = pa.Table.from_batches(list(orphans._range_orphans(iter(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))).to_batches()))))
+    # b was created after the first load of the period, so the bitmaps leave it to the exact times of its rows
+    assert got.to_pylist() == [{"k": "b", "day": 9}]
