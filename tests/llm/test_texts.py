@@ -1,5 +1,7 @@
 import ast
+import json
 import random
+import tomllib
 
 import numpy as np
 import pytest
@@ -96,7 +98,7 @@ def test_documented_functions(spark):
 
 
 GOOD = {
-    "py": ["", "x = 1", PY, "if a:\n    b\n# c\nelse:\n    d\n", "@a\n@b(1)\n\ndef f():\n    '''x\ny = (\n'''\n    return 1\n", 's = """\nq\n"""\nt = "a\\\nb"\n', "a = f'{x[\"]\"]}'\nb = [\n1,\n]\n", "try:\n    a\nexcept E:\n    b\nfinally:\n    c\n"],
+    "py": ["", "x = 1", PY, "if a:\n    b\n# c\nelse:\n    d\n", "@a\n@b(1)\n\ndef f():\n    '''x\ny = (\n'''\n    return 1\n", 's = """\nq\n"""\nt = "a\\\nb"\n', "a = f'{x[\"]\"]}'\nb = [\n1,\n]\n", "a = f\"{x[\"(\"]!r:>{w[\"]\"]}}\"\nb = f'''{{(\n{\n1:%H\n}'''\nc = rf'\\N{d}'\n", "@a\n# c\n@b(\n1)\n\nclass K: x = 1\\\n+ 2\n", "try:\n    a\nexcept E:\n    b\nfinally:\n    c\n"],
     "json": ['{"a": [1, 2, {"b": "x,]\\""}], "c": null}', "[]", "{}", " [1, \"a\"] ", "3", '"s"'],
     "toml": ["", 'a = 1\n[b]\nc = """\n[x\n"""\n[[d]]\ne = [\n[1],\n]\n[[d]]\ne = 2\n', "[a.b]\nx = 1\n[a]\ny = {p = 1}\n", "[a]\nk.l = 1\n"],
 }
@@ -108,8 +110,7 @@ BAD = {
 
 
 @pytest.mark.parametrize("size", [4096, 7])
-def test_unparsable(spark, monkeypatch, size):
-    monkeypatch.setattr(parsecheck.cut_chunks, "__defaults__", (size,))
+def test_unparsable(spark, size):
     rows, bad = [], set()
     for good, table in ((True, GOOD), (False, BAD)):
         for ext, texts in table.items():
@@ -119,31 +120,99 @@ def test_unparsable(spark, monkeypatch, size):
                     bad.add(len(rows) - 1)
     rows += rows[:9] + [(900, "a.py", None), (901, None, "("), (902, "a.txt", "("), (None, "a.py", "(")]
     df = spark.createDataFrame(rows, "i long, p string, t string").withColumns({"language": F.lit("x"), "n": F.lit(1)})
-    got = {int(r.id) for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t").collect()}
+    got = {int(r.id) for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t", chunk_chars=size).collect()}
     assert got == bad, [rows[i] for i in got ^ bad]
+    assert parsecheck.unparsable(df.limit(0), id_col="i", path_col="p", text_col="t").collect() == []
 
 
 def test_unparsable_beyond_the_parsers_depth(spark):
     n = 30_000
-    good = [("a.json", "[" * n + "]" * n), ("a.toml", "a = " + "[" * n + "]" * n), ("a.py", "x = " + "-" * n + "1\n"), ("b.py", "x = " + "not " * n + "1\n")]
-    bad = [("b.json", "[" * n), ("c.json", '{"a":' * n + '"x'), ("d.json", "[" * n + "]" * (n - 1)), ("b.toml", "a = " + "[" * n), ("c.py", "x = " + "-" * n + "\n"), ("d.py", "y = (" + "-" * n + "1\n"), ("e.py", "x = " + "not " * n + "\n")]
+    good = [("a.json", "[" * n + "]" * n), ("a.toml", "a = " + "[" * n + "]" * n), ("a.py", "x = " + "-" * n + "1\n"), ("b.py", "x = " + "not " * n + "1\n"), ("c.toml", "a = " + "[{b = " * 300 + "1" + "}]" * 300), ("f.py", "x = 1" + " + 1" * n)]
+    bad = [("b.json", "[" * n), ("c.json", '{"a":' * n + '"x'), ("d.json", "[" * n + "]" * (n - 1)), ("b.toml", "a = " + "[" * n), ("c.py", "x = " + "-" * n + "\n"), ("d.py", "y = (" + "-" * n + "1\n"), ("e.py", "x = " + "not " * n + "\n"), ("g.py", "x = " + "-" * n + "1\n)(\n"), ("d.toml", "a = " + "[{b = " * 300 + "?" + "}]" * 300)]
     df = spark.createDataFrame([(p, p, t) for p, t in good + bad], "i string, p string, t string")
-    got = {r.id for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t").collect()}
-    assert got == {p for p, _ in bad}
+    for size in (parsecheck.CHUNK_CHARS, 1 << 20):
+        got = {r.id for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t", chunk_chars=size).collect()}
+        assert got == {p for p, _ in bad}
 
 
-def test_summaries_are_associative():
-    text = PY * 3
-    for lang in ("python", "toml"):
-        parts = parsecheck.cut_chunks(lang, text, 60)
-        maps = [parsecheck.summary(lang, p) for p in parts]
-        left = maps[0]
+def test_long_files_of_many_chunks(spark):
+    """Each file has thousands of chunks; what is wrong lies in one of them, or in the summary of all."""
+    unit = "@d\ndef f(a, b=(1, 2)):\n    '''x\ny = (\n'''\n    return {a: [b, f'{a!r:>{b}}']}\n"
+    py, js, toml = unit * 20_000, "[" + ",".join(['{"k": [1, "a,]b", null]}'] * 60_000) + "]", "".join(f"[t{i}]\na = [\n1,\n]\n" for i in range(20_000))
+    half, middle = len(unit) * 10_000, js.index("null", len(js) // 2)
+    good = [("1.py", py), ("2.json", js), ("3.toml", toml)]
+    bad = [("4.py", py[:half] + "x = )\n" + py[half:]), ("5.py", py[:half] + "x y\n" + py[half:]), ("6.py", py[:-3]), ("7.json", js[:-1]), ("8.json", js[:middle] + js[middle + 1 :]), ("9.toml", toml + "[t5]\n"), ("10.py", py + "y = '''")]
+    df = spark.createDataFrame([(p, p, t) for p, t in good + bad], "i string, p string, t string").repartition(8)
+    assert {r.id for r in parsecheck.unparsable(df, id_col="i", path_col="p", text_col="t").collect()} == {p for p, _ in bad}
+
+
+@pytest.mark.parametrize("language", ["python", "toml", "json"])
+def test_summaries_are_associative(language):
+    rng = random.Random(3)
+    texts = {"python": PY * 2, "toml": 'a = """\n[\n"""\n[b]\nc = [{d = 1}, [2]]\n' * 3, "json": json.dumps([{"a": [1, {"b": "x,]"}]}, [], "s", [[{}]]] * 3)}
+
+    def both(a, b):
+        out = []
+        for end, left in a:
+            r = parsecheck.reduction(language)
+            r.feed_all(left + b[end][1])
+            out.append((b[end][0], r.left()))
+        return out
+
+    for _ in range(60):
+        text = list(texts[language])
+        if rng.random() < 0.5:
+            del text[rng.randrange(len(text))]
+        maps = [parsecheck.summary(language, p) for p in parsecheck.cut_chunks(language, "".join(text), rng.randrange(1, 30))]
+        if any(end == parsecheck.IN_FIELD for m in maps for end, _ in m):
+            continue
+        left, right = maps[0], maps[-1]
         for m in maps[1:]:
-            left = parsecheck.combined(left, m)
-        right = maps[-1]
+            left = both(left, m)
         for m in reversed(maps[:-1]):
-            right = parsecheck.combined(m, right)
-        assert left == right == parsecheck.summary(lang, text)
+            right = both(m, right)
+        assert left == right and left[0] == parsecheck.summary(language, "".join(text))[0]
+
+
+def whole(ext, text):
+    def no(name):
+        raise ValueError(name)
+
+    try:
+        {"py": ast.parse, "json": lambda t: json.loads(t, parse_constant=no), "toml": tomllib.loads}[ext](text)
+    except (SyntaxError, ValueError):
+        return True
+    return False
+
+
+def in_chunks(language, text, size):
+    """The steps of the operator on one file."""
+    rows = parsecheck._summarised(size, "f", language, "d", text)
+    if not rows or rows[0][3] == -1:
+        return bool(rows)
+    starts = parsecheck._started("f", language, "d", [{"n": r[3], "ends": r[5], "left": r[6]} for r in rows])
+    if not starts or starts[0][3] == -1:
+        return bool(starts)
+    if starts[0][3] == -2:
+        return parsecheck.invalid(language, text)
+    parts = sorted((p[3:] for s in starts for p in parsecheck._parsed(*s, rows[s[3]][4])), key=lambda p: p[:3])
+    return bool(parsecheck._joined("f", language, "d", [dict(zip(("n", "place", "kind", "part"), p, strict=True)) for p in parts]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_statements_agree_with_the_whole_parsers(seed):
+    """Random damage to valid texts: what chunks and statements say is what a parser of the whole text says."""
+    rng = random.Random(seed)
+    marks = ["", *"()[]{}'\":,#=", '"""', "'''", "\\\n", "\n", "[[d]]\n", "\r", "f'{x!r:>{y}}'", "f'''{\n1}\n{{'''", "@d\n", "else:\n"]
+    for _ in range(900):
+        ext = rng.choice(list(GOOD))
+        t = rng.choice(GOOD[ext])
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(t) + 1)
+            t = t[:k] + rng.choice(marks) + t[k + rng.choice([0, 0, 1, 3]) :]
+        want, language = whole(ext, t), parsecheck.LANGUAGES[ext]
+        assert parsecheck.invalid(language, t) is want, (ext, t)
+        assert in_chunks(language, t, rng.choice([5, 17, 60])) is want, (ext, t)
 
 
 def test_rates(spark):
