@@ -88,7 +88,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scored(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents"), id_col="doc_id", text_col="text").withColumnRenamed("id", "doc_id")
+    return spam.spam_pages(table(spark, d, "documents"), id_col="doc_id", text_col="text", lang_col="lang").withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -298,6 +298,7 @@ def test_classifier_on_held_out_documents():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+KNOWN = frozenset("the a of and to in is it that for on with as so if when then than but or at by be are was will which who this these they we you your their its once more most not no has have can each every any one before after while".split())
 PROSE = "The cache keeps one entry per key and drops it when the session ends. Older readers still expect the last value, so it is written once more before the file closes. "
 
 
@@ -313,7 +314,7 @@ PROSE = "The cache keeps one entry per key and drops it when the session ends. O
     ],
 )
 def test_spam(text, want):
-    stuffed, link, _ = spam.spam_shares(["x", text, PROSE])
+    stuffed, link, _ = spam.spam_shares(["x", text, PROSE], KNOWN)
     assert bool(stuffed[1] + link[1] > spam.SHARE) is want
 
 
@@ -326,11 +327,11 @@ def test_spam_of_long_blocks():
     long = " ".join(rng.choices(["and", "of", "the", "when", "it", "is"] * 15 + [f"{a}{b}{c}o" for a in "bcdfgklm" for b in ("an", "er", "ist", "ul") for c in "npstr"], k=1500))
     jitter = " ".join(f"{ADVERT} {'So it is. ' * (i % 3)}" for i in range(50))
     for text in (" ".join([ADVERT] * 50), " ".join([ADVERT] * 3), jitter, " ".join([long] * 4)):
-        stuffed, link, _ = spam.spam_shares(["x", text, PROSE])
+        stuffed, link, _ = spam.spam_shares(["x", text, PROSE], KNOWN)
         assert stuffed[1] > spam.SHARE and stuffed[2] == 0
     pattern = " ".join(f"If the {a} has no {b}, the empty {c} is used and a warning names the {d}." for a, b, c, d in ("credit anchor log value".split(), "marker payload notice snapshot".split(), "flag resolver lock kernel".split()))
-    assert spam.spam_shares([pattern])[0][0] == 0
-    assert not any(spam.spam_shares([f"{ADVERT} {PROSE}", f"{ADVERT} {PROSE} {ADVERT} {PROSE}"])[0])  # once, and a copy
+    assert spam.spam_shares([pattern], KNOWN)[0][0] == 0
+    assert not any(spam.spam_shares([f"{ADVERT} {PROSE}", f"{ADVERT} {PROSE} {ADVERT} {PROSE}"], KNOWN)[0])  # once, and a copy
 
 
 @pytest.mark.parametrize(
@@ -342,18 +343,70 @@ def test_spam_of_long_blocks():
 )
 def test_spam_of_few_words(text, want):
     for texts in ([text], ["x", text, PROSE]):
-        stuffed, link, _ = spam.spam_shares(texts)
+        stuffed, link, _ = spam.spam_shares(texts, KNOWN)
         k = texts.index(text)
         assert bool(stuffed[k] + link[k] > spam.SHARE) is want and stuffed[k] + link[k] <= 1
 
 
 def test_spam_of_neighbouring_texts():
     sentence = "Two option objects compare equal when their relay and policy fields match."
-    alone = spam.spam_shares([sentence])
-    copies = spam.spam_shares([sentence] * 20)
+    alone = spam.spam_shares([sentence], KNOWN)
+    copies = spam.spam_shares([sentence] * 20, KNOWN)
     assert alone[0][0] == 0.0 and not copies[0].any()  # a pair does not recur over the end of a text
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Кэш хранит одну запись для каждого ключа и удаляет её, когда сеанс закрывается. Старые читатели всё ещё ждут последнего значения, поэтому перед закрытием файла оно записывается ещё раз.",
+        "Η μνήμη κρατά μία εγγραφή για κάθε κλειδί και την αφαιρεί όταν τελειώνει η σύνοδος. Οι παλιοί αναγνώστες περιμένουν ακόμη την τελευταία τιμή, γι' αυτό γράφεται ξανά πριν κλείσει το αρχείο.",
+        "缓存为每个键保存一个条目，并在会话结束时将其删除。旧的读取者仍然需要最后的值，因此在文件关闭之前会再写入一次。",
+        "キャッシュはキーごとに一つの項目を保持し、セッションが終わるとそれを削除します。古い読み手はまだ最後の値を待っているので、ファイルが閉じる前にもう一度書き込まれます。",
+        "Pamięć podręczna trzyma jeden wpis na każdy klucz i usuwa go, gdy sesja się kończy. Starsi czytelnicy wciąż oczekują ostatniej wartości, dlatego jest ona zapisywana jeszcze raz przed zamknięciem pliku.",
+        "Önbellek her anahtar için bir kayıt tutar ve oturum bittiğinde onu siler. Eski okuyucular hâlâ son değeri beklediği için dosya kapanmadan önce bir kez daha yazılır.",
+        "Välimuisti säilyttää yhden tietueen avainta kohti ja poistaa sen istunnon päättyessä. Vanhat lukijat odottavat yhä viimeistä arvoa, joten se kirjoitetaan vielä kerran ennen tiedoston sulkemista.",
+        "تحتفظ الذاكرة بإدخال واحد لكل مفتاح وتحذفه عندما تنتهي الجلسة. لا يزال القراء القدامى يتوقعون القيمة الأخيرة، لذلك تكتب مرة أخرى قبل إغلاق الملف.",
+        "कैश हर कुंजी के लिए एक प्रविष्टि रखता है और सत्र समाप्त होने पर उसे हटा देता है। पुराने पाठक अभी भी अंतिम मान की अपेक्षा करते हैं, इसलिए फ़ाइल बंद होने से पहले उसे एक बार फिर लिखा जाता है।",
+        "캐시는 키마다 하나의 항목을 보관하고 세션이 끝나면 그것을 삭제합니다. 오래된 독자는 여전히 마지막 값을 기다리므로 파일이 닫히기 전에 한 번 더 기록됩니다.",
+        "La cache conserva una voce per ogni chiave e la elimina quando la sessione finisce. I lettori più vecchi aspettano ancora l'ultimo valore, quindi viene scritto un'altra volta prima che il file si chiuda.",
+        "A gyorsítótár kulcsonként egy bejegyzést tart, és törli, amikor a munkamenet véget ér. A régi olvasók még várják az utolsó értéket, ezért a fájl bezárása előtt még egyszer kiírja.",
+    ],
+)
+def test_prose_of_languages_that_are_not_known(text):
+    for texts in ([text], [text + " " + PROSE, text, PROSE]):
+        for known in (KNOWN, frozenset()):
+            shares = spam.spam_shares(texts, known)
+            assert not (shares[0] + shares[1] > spam.SHARE).any()
+
+
+@pytest.mark.parametrize("words", ["кэш ключ файл сеанс запись буфер канал скрипт список узел пул реплика формат счётчик вектор метка", "önbellek anahtar dosya oturum kayıt tampon kanal betik liste düğüm havuz kopya biçim sayaç vektör etiket"])
+def test_lists_of_languages_that_are_not_known(words):
+    shares = spam.spam_shares([", ".join(words.split()), "\n".join(words.split())], KNOWN)
+    assert (shares[0] > spam.SHARE).all()
+
+
+def test_phrases_with_words_exchanged_at_long_gaps():
+    rng = random.Random(4)
+    frame = "for all old town people who want to buy one new red sensor this week our best shop has free relay parts".split()
+    filled = [f"{a}{b}o" for a in "bcdfgklmnprst" for b in ("an", "er", "ist", "ul", "om", "ak")]
+    text = " ".join(w if k % 6 else rng.choice(filled) for _ in range(40) for k, w in enumerate(frame))
+    shares = spam.spam_shares([text, PROSE], KNOWN)
+    assert shares[0][0] > spam.SHARE and shares[0][1] == 0 and shares[2][0] > spam.PERIODIC
+
+
+def test_function_words_are_learned(spark):
+    rng = random.Random(6)
+    nouns = [f"{a}{b}{c}" for a in "bcdfgklmnprst" for b in ("an", "er", "ist", "ul", "om", "ak") for c in ("o", "en", "is", "um")]
+    glue = {"en": "the of and to in is".split(), "ru": "и в на не что с".split()}
+    rows = [(lang, " ".join(w for _ in range(25) for w in (rng.choice(own), rng.choice(nouns), rng.choice(own), rng.choice(nouns)))) for lang, own in glue.items() for _ in range(70)]
+    rows += [(" EN-us", rows[0][1]), ("xx", "zu wenig davon"), (None, "nor of this"), ("en", None), ("en", " ")]
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("word", F.lit("clash"))
+    found = spam.function_words(df, text_col="text", lang_col="lang")
+    assert found and found <= {w for own in glue.values() for w in own} and all(found & set(own) for own in glue.values())
+    assert spam.function_words(df.limit(0), text_col="text") == frozenset()
+    assert spam.function_words(df.where("lang = 'xx'"), text_col="text", lang_col="lang") == frozenset()
+
+
 def test_spam_pages(spark):
     spammy = "buy cheap sensor " * 50
     df = spark.createDataFrame([(1, spammy), (1, spammy), (2, PROSE), (3, None), (4, "  "), (None, spammy), (5, "http://a.example/x\x00 " * 30)], "i long, t string").withColumn("id", F.lit(7))
