@@ -12,20 +12,28 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.session import written
+
+#: A sentence of so few words (names left out) is boilerplate if the functions of this share of all names have it, and of so many names.
+SHORT, SHARED, LEAST_NAMES = 8, 0.0005, 3
+
 # ---------------------------------------------------------------- islands of source code
 
 _PY_HEAD = re.compile(r"^([ \t]*)(?:((?:async[ \t]+)?def)[ \t]+([^\W\d]\w*)[ \t]*(?=[(\[])|class[ \t]+([^\W\d]\w*))", re.M)
 _LINE = re.compile(r"([ \t]*)([^\n]*)\n?")
 _PY_WATER = re.compile(r"#[^\n]*|(?:[rRbBfFuUtT]{0,2})(\"\"\"|'''|\"|')")
 _PY_DOC = re.compile(r"\s*(?:#[^\n]*\s*)*([rRuU]?)(\"\"\"|'''|\"|')")
-_BRACE_DOC = re.compile(r"/\*\*(?P<block>.*?)\*/|(?P<lines>(?:^[ \t]*//[/!][^\n]*\n?)+)", re.S | re.M)
-_BRACE_NOTES = re.compile(r"\s*(?:@\w[\w.]*(?:\([^()]*\))?\s+|#\[[^\]]*\]\s+)*")
-_BRACE_NAME = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>(){}]*>)?\s*\(")
+#: Strings and comments of languages with braces; a documentation comment is one of them.
+_BRACE_WATER = re.compile(r"""\"\"\".*?(?:\"\"\"|\Z)|"(?:[^"\\\n]|\\.)*"?|`[^`]*`?|'(?:\\.|[^'\\\n])'|(?P<block>/\*.*?(?:\*/|\Z))|(?P<lines>//[^\n]*(?:\n[ \t]*//[^\n]*)*)""", re.S)
+_BRACE_NAME = re.compile(r"([A-Za-z_$][\w$]*)\s*(?=[<\[(])")
 _BRACE_END = re.compile(r"[;{}]")
-_NO_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "function", "func", "fn"}
+_NO_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "function", "func", "fn", "def", "guard", "match"}
+_MARKS = re.compile(r"(?m)^[ \t]*(?:\*(?!/)|//[/!]?)[ \t]?")
+_RUBY_HEAD = re.compile(r"^(?P<doc>(?:[ \t]*#[^\n]*\n)*)(?P<indent>[ \t]*)(?P<signature>def[ \t]+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!=]?)[^\n;]*)", re.M)
 
 
 def _string_end(text: str, at: int, quote: str) -> int:
@@ -85,6 +93,21 @@ def python_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
         k = bisect_left(water, at) - 1
         return k >= 0 and at < ends[k]
 
+    def decorated(at: int) -> int:
+        """The place at which the decorators of the definition at ``at`` begin, or ``at``."""
+        begin = at
+        while begin:
+            line = text.rfind("\n", 0, begin - 1) + 1
+            if wet(line) or not text[line:begin].strip():
+                break
+            if text[line:begin].lstrip().startswith("@"):
+                at = begin = line
+            elif text[line:begin].lstrip()[0] in ")]}" or text[line:begin].rstrip().endswith((",", "(", "[", "{")):
+                begin = line  # within the arguments of a decorator
+            else:
+                break
+        return at
+
     outer: list[tuple[int, str]] = []  # indents and names of the classes and functions around
     for m in _PY_HEAD.finditer(text):
         if wet(m.start()):
@@ -114,34 +137,79 @@ def python_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
                 end = line.end()
             elif line[2] and not line[2].startswith("#"):
                 break
-        yield ".".join(name for _, name in outer), text[m.start(2) : colon], doc, text[m.start() : end].rstrip()
+        yield ".".join(name for _, name in outer), text[m.start(2) : colon], doc, text[decorated(m.start()) : end].rstrip()
+
+
+def _angles(text: str, at: int) -> int:
+    """The place after the type parameters that begin at ``at``, if any; they nest."""
+    depth = 0
+    for i in range(at, min(len(text), at + 10_000)):
+        c = text[i]
+        if c in "<[":
+            depth += 1
+        elif c in ">]" and text[i - 1] not in "-=":
+            depth -= 1
+            if depth == 0:
+                return i + 1
+        elif depth == 0 or c in ";{}":
+            break
+    return at
+
+
+def _notes(text: str, at: int) -> int:
+    """The place after annotations and attributes: a name with balanced arguments, or ``#[...]``."""
+    while m := re.compile(r"\s*(?:@\w[\w.]*|#(?=\[))").match(text, at):
+        at = m.end()
+        if text[at : at + 1] in ("(", "["):
+            at = _balanced(text, at, False)
+    return re.compile(r"\s*").match(text, at).end()
 
 
 def brace_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
-    """The same for languages with doc comments before the signature and bodies in braces."""
-    for m in _BRACE_DOC.finditer(text):
-        doc = re.sub(r"(?m)^[ \t]*(?:\*(?!/)|//[/!])[ \t]?", "", m["block"] or m["lines"])
-        at = _BRACE_NOTES.match(text, m.end()).end()
+    """The same for languages with doc comments before the signature and bodies in braces.
+
+    Comments in strings open no island. Of an island the annotations belong to the code, not to the signature.
+    """
+    for m in _BRACE_WATER.finditer(text):
+        comment = m["block"] or m["lines"]
+        if not comment or not (comment.startswith(("/**", "///", "//!")) or (m["lines"] and re.match(r"\s*func\b", text[m.end() : m.end() + 80]))):
+            continue
+        doc = _MARKS.sub("", comment.removeprefix("/**").removesuffix("*/") if m["block"] else comment)
+        notes = re.compile(r"\s*").match(text, m.end()).end()
+        at = _notes(text, m.end())
         body = _BRACE_END.search(text, at)
         end = body.start() if body else len(text)
-        name = _BRACE_NAME.search(text, at, end)
-        while name and name[1] in _NO_NAMES:
-            name = _BRACE_NAME.search(text, name.end(), end)
+        name, opened = None, -1
+        for n in _BRACE_NAME.finditer(text, at, end):
+            opened = _angles(text, n.end())
+            opened = re.compile(r"\s*").match(text, opened).end()
+            if n[1] not in _NO_NAMES and text[opened : opened + 1] == "(":
+                name = n[1]
+                break
         if not name:
             continue
-        closed = _balanced(text, name.end() - 1, False)
-        body = re.compile(r"[^;{}]*").match(text, closed).end()
-        end = _balanced(text, body, False) if text[body : body + 1] == "{" else body
-        yield name[1], text[at:body].strip(), doc.strip("\n"), text[at:end]
+        closed = _balanced(text, opened, False)
+        body = re.compile(r"[^;{}\n]*(?:\n\s*(?:throws|where|:)[^;{}\n]*)*\s*").match(text, closed).end()
+        end = _balanced(text, body, False) if text[body : body + 1] == "{" else min(body, len(text))
+        yield name, text[at:body].strip(), doc.strip(), text[notes:end].rstrip()
 
 
-GRAMMARS = {"py": python_islands, "pyi": python_islands, **dict.fromkeys(("java", "js", "ts", "c", "h", "cc", "cpp", "cs", "rs", "kt", "php"), brace_islands)}
+def ruby_islands(text: str) -> Iterator[tuple[str, str, str | None, str]]:
+    """The same for Ruby: comment lines before ``def``, a body up to the ``end`` of the same indent."""
+    for m in _RUBY_HEAD.finditer(text):
+        close = re.compile(rf"^{m['indent']}end\b", re.M).search(text, m.end())
+        doc = re.sub(r"(?m)^[ \t]*# ?", "", m["doc"]).strip()
+        yield m["name"], m["signature"].strip(), doc or None, text[m.start("signature") : close.end() if close else len(text)]
+
+
+GRAMMARS = {"py": python_islands, "pyi": python_islands, **dict.fromkeys(("java", "js", "ts", "c", "h", "cc", "cpp", "cs", "rs", "kt", "php", "go", "scala", "swift"), brace_islands), "rb": ruby_islands}
 
 # ---------------------------------------------------------------- islands of documentation
 
 # Names of sections, fields and marks in the usual documentation styles.
-_SECTIONS = r"args|arguments|parameters|params|other parameters|keyword args|keyword arguments|attributes|returns?|yields?|raises?|throws|warns?|warnings?|notes?|examples?|usage|see also|references|todo|methods|receives|parametros|parámetros|devuelve|paramètres|retour|renvoie|parameter|rückgabe|rückgabewert"
-_SECTION = re.compile(rf"^\s*(?:{_SECTIONS})\s*:?\s*$", re.I)
+_SECTIONS = r"args|arguments|parameters|params|other parameters|keyword args|keyword arguments|attributes|returns?|yields?|raises?|throws|warns?|warnings?|notes?|examples?|usage|see also|references|todo|methods|receives|parameter"
+#: A section's heading: one of these names, or up to three words of any language before a colon.
+_SECTION = re.compile(rf"^\s*(?:(?:{_SECTIONS})\s*:?|[^\W\d]\w*(?:\s\w+){{0,2}}\s*:)\s*$", re.I)
 _RULE = re.compile(r"^\s*([-=~^*#_+.])\1{2,}\s*$")
 _FIELD = re.compile(r"^\s*:(param|parameter|arg|argument|key|keyword|type|raises?|except|exception|return|returns|rtype|yields?|ytype|var|ivar|cvar|vartype|meta)\b([^:]*):\s?(.*)$|^\s*@(param|arg|return|returns|throws|exception|raise|raises|type|rtype|see|since|author|version|deprecated|todo|inheritdoc|override|link)\b\s*(.*)$", re.I)
 _TYPE_FIELDS = {"type", "rtype", "ytype", "vartype", "meta", "see", "since", "author", "version", "inheritdoc", "override", "link", "todo"}
@@ -175,7 +243,6 @@ _EMPTY_SENTENCE = re.compile(
   | (?:check|overrides?|implements?)\s(?:also\s)?(?:the\s|its\s)?{_TARGET}{_FURTHER}
   | (?:see|refer\sto)\s:?\w*:?`[^`]*`\W*
   | (?:noqa|type:\s?ignore|pylint\b|flake8\b|mypy\b|isort\b|pragma\b|fmt\b|ruff\b|nosec|coding|pyright\b|yapf\b|nopep8).*
-  | siehe\b.{{0,40}} | voir\b.{{0,40}} | véase\b.{{0,40}} | ver\s(?:la|el)\b.{{0,30}} | idem\b.{{0,20}} | wie\soben\W* | (?:à|a)\s(?:faire|compléter)\b.* | por\s(?:hacer|documentar)\b.* | pendiente\b.{{0,20}} | fehlt\b.{{0,20}} | noch\s(?:offen|zu)\b.{{0,30}} | nicht\sdokumentiert\W* | sans\sdocumentation\W* | sin\sdocumentaci[oó]n\W*
     )\W*$""",
     re.I | re.X | re.S,
 )
@@ -238,58 +305,117 @@ def own_text(doc: str) -> list[str]:
     return [s.strip() for s in _SENTENCE.split("\n".join(out)) if s.strip()]
 
 
-def described(doc: str | None, name: str | None, signature: str | None) -> bool:
-    """Whether the documentation says in words of its own what a function does, takes or gives.
+def _names(*texts: str | None) -> set[str]:
+    """The words of names, signatures and types: whole, and cut at capitals and underscores."""
+    joined = " ".join(t for t in texts if t)
+    words = {w.lower() for w in _WORD.findall(joined)} | {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", joined)}
+    return words | {w + "s" for w in words} | {w + "es" for w in words}
 
-    False for null and blank texts, mere marks, placeholders, deferrals, notes to tools, empty headings and
-    fields, examples alone, and texts of no other words than those of the name, the signature and its types.
+
+def own_sentences(doc: str | None, name: str | None, signature: str | None, island: str | None = None) -> list[str]:
+    """The sentences that say something in words that name, signature and types lack, in lower case, names left out.
+
+    ``island`` is the signature with its annotations as the code has it; the stored ``signature`` runs the name
+    into its first parameter. Placeholders, deferrals and notes to tools are no such sentences.
     """
     if not doc or not _WORD.search(doc):
-        return False
-    known = None
+        return []
+    known, out = None, []
     for sentence in own_text(doc):
         # a note to oneself may stand before a description; alone it is a placeholder
         noted = _NOTE.match(sentence)
         sentence = sentence[noted.end() :] if noted else sentence
         if _EMPTY_SENTENCE.match(sentence):
             continue
-        words = [w.lower() for w in _WORD.findall(sentence)]
         if known is None:
-            known = {w.lower() for w in _WORD.findall(f"{name or ''} {signature or ''}")}
-            known |= {w.lower() for part in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", f"{name or ''} {signature or ''}") for w in (part,)}
-            # the stored signature runs the name into its first parameter
-            known |= {w.lower() for w in _WORD.findall((signature or "").removeprefix((name or "").rpartition(".")[2]))}
-            known |= {w + "s" for w in known} | {w + "es" for w in known} | _FILLER
-        if sum(w not in known for w in words) >= (5 if noted else 2):
-            return True
-    return False
+            known = _names(name, signature, (signature or "").removeprefix((name or "").rpartition(".")[2]), island)
+        words = [w.lower() for w in _WORD.findall(sentence)]
+        if sum(w not in known and w not in _FILLER for w in words) >= (5 if noted else 2):
+            out.append(" ".join(w for w in words if w not in known))
+    return out
+
+
+def described(doc: str | None, name: str | None, signature: str | None, island: str | None = None, boilerplate: frozenset[int] = frozenset()) -> bool:
+    """Whether the documentation says in words of its own what a function does, takes or gives.
+
+    False for null and blank texts, mere marks, placeholders, deferrals, notes to tools, empty headings and
+    fields, examples alone, texts of no other words than those of the name, the signature and its types, and
+    texts of sentences that functions of many names share (``boilerplate``, see ``shared_sentences``).
+    """
+    return any(len(s.split()) > SHORT or _code(s) not in boilerplate for s in own_sentences(doc, name, signature, island))
+
+
+def _code(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def code_island(code: str | None, name: str | None) -> tuple[str, str, str | None, str] | None:
+    """The island of a function in its excerpt: the one of its name, or else the first."""
+    first = None
+    for island in python_islands(code or ""):
+        if island[0].rpartition(".")[2] == (name or "").rpartition(".")[2]:
+            return island
+        first = first or island
+    return first
 
 
 # ---------------------------------------------------------------- Spark
 
 
+def _islands(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The columns of a row and the signature of its code's island."""
+    for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        island = code_island(row[4], row[2])
+        yield *row, island[1] if island else None
+
+
+def shared_sentences(functions: DataFrame) -> frozenset[int]:
+    """Codes of the short sentences that the functions of many names share: placeholders of whatever language.
+
+    ``functions`` has ``id, doc, name, signature, code``. A sentence is shared if functions of SHARED of all names,
+    and of LEAST_NAMES, have it; names are last parts, so that versions and overrides of one function count once.
+    As each function has few sentences, few can be shared by so many: the set does not grow with the functions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, codes = [], []
+            for _, doc, name, signature, _, island in _islands(batch):
+                last = _code((name or "").rpartition(".")[2])
+                short = {s for s in own_sentences(doc, name, signature, island) if len(s.split()) <= SHORT}
+                for code in {_code(s) for s in short} or {None}:
+                    names.append(last)
+                    codes.append(code)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(codes, pa.int64())], ["name", "sentence"])
+
+    pairs = functions.mapInArrow(run, "name long, sentence long").distinct()
+    used = written(pairs.groupBy("sentence").agg(F.count("*").alias("names")).unionByName(pairs.select(F.lit(0).cast("long").alias("sentence"), "name").groupBy("sentence").agg(F.count_distinct("name").alias("names")).withColumn("sentence", F.lit(None).cast("long"))))
+    every = used.where("sentence is null").agg(F.max("names")).first()[0] or 0
+    return frozenset(r["sentence"] for r in used.where(F.col("sentence").isNotNull() & (F.col("names") >= max(LEAST_NAMES, SHARED * every))).select("sentence").collect())
+
+
 def documented_functions(functions: DataFrame, *, id_col: str, doc_col: str, name_col: str, signature_col: str, code_col: str) -> DataFrame:
     """Code-description pairs: ``id, name, signature, description, code`` of the functions that are described.
 
-    Rows whose documentation is null, blank or trivial (see ``described``) drop out; a null name, signature or
-    code is kept as null; repeated rows come out as often as they go in; whole texts are read. Where the
-    signature is null it is cut out of the code by the island grammar.
+    The code's islands give the signature with its annotations, and the documentation is judged by what it adds to
+    them (see ``described``); sentences that functions of many names share add nothing. Rows whose documentation
+    is null, blank or trivial drop out; a null name, signature or code is kept as null, but for a null signature,
+    which is cut out of the code; repeated rows come out as often as they go in; whole texts are read.
     """
     schema = "id string, name string, signature string, description string, code string"
+    rows = functions.select(*[F.col(c).cast("string") for c in (id_col, doc_col, name_col, signature_col, code_col)])
+    rows = rows.where(F.trim(F.col(rows.columns[1])) != "").toDF("id", "doc", "name", "signature", "code")
+    boilerplate = functions.sparkSession.sparkContext.broadcast(shared_sentences(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, doc, name, signature, code in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if signature is None and code and (island := next(python_islands(code), None)):
-                    signature = island[1]
-                if described(doc, name, signature):
-                    out.append((i, name, signature, "\n".join(line.rstrip() for line in doc.strip().replace("\r\n", "\n").split("\n")), code))
+            for i, doc, name, signature, code, island in _islands(batch):
+                if described(doc, name, signature, island, boilerplate.value):
+                    out.append((i, name, signature if signature is not None else island, "\n".join(line.rstrip() for line in doc.strip().replace("\r\n", "\n").split("\n")), code))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(5)], ["id", "name", "signature", "description", "code"])
 
-    rows = functions.select(*[F.col(c).cast("string") for c in (id_col, doc_col, name_col, signature_col, code_col)])
-    rows = rows.where(F.trim(F.col(rows.columns[1])) != "")
-    return rows.toDF("id", "doc", "name", "signature", "code").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def source_functions(files: DataFrame, *, id_col: str, path_col: str, text_col: str) -> DataFrame:

@@ -59,6 +59,55 @@ def test_islands():
     assert [j[0] for j in java] == ["add", "empty"] and java[0][3].endswith('return "}".length(); }')
 
 
+BRACES = '''
+class A {
+  String s = "/** No island in a string. */ void no() { }";
+  /** Gives the lists by key. */
+  @Deprecated(since = "x(1)")
+  public <T extends Map<String, List<T>>> Map<String, List<T>> lists(T key, int n) throws E { return make("{"); }
+}
+// Sum adds the numbers
+// one by one.
+func (s *Stack) Sum(a []int) int { if len(a) > 0 { return a[0] }; return 0 }
+// no function here
+var x = 1
+/// Reads a line of the file.
+@inlinable
+func read<T>(from file: T) -> String { return file.next() }
+'''
+RUBY = "class A\n  # Reads the next\n  # entry.\n  def read_next(n = 1)\n    if n\n      2\n    end\n  end\n\n  def other; end\nend\n"
+
+
+def test_islands_of_other_languages():
+    got = {n: (s, d, c) for n, s, d, c in docpairs.brace_islands(BRACES)}
+    assert list(got) == ["lists", "Sum", "read"]
+    assert got["lists"][0].startswith("public <T extends") and got["lists"][0].endswith("throws E") and got["lists"][1] == "Gives the lists by key."
+    assert got["lists"][2].startswith("@Deprecated") and got["lists"][2].endswith('make("{"); }')
+    assert got["Sum"][1] == "Sum adds the numbers\none by one." and got["Sum"][2].endswith("return 0 }")
+    assert got["read"][2].startswith("@inlinable")
+    assert [(n, d) for n, _, d, _ in docpairs.ruby_islands(RUBY)] == [("read_next", "Reads the next\nentry."), ("other", None)]
+    decorated = "@first\n@second(\n    1,\n)\ndef f(): pass\n\nx = 1\ndef g(): pass\n"
+    assert [i[3] for i in docpairs.python_islands(decorated)] == ["@first\n@second(\n    1,\n)\ndef f(): pass", "def g(): pass"]
+
+
+def test_what_the_code_says_adds_nothing(spark):
+    code = "@cached\ndef load(first_key: Mapping[str, Packet]) -> LazyResult:\n    pass\n"
+    for doc, want in (("Loads the lazy result of a packet mapping.", False), ("Mapping of first keys to packets.", False), ("Loads the lazy result from disk once.", True)):
+        df = spark.createDataFrame([("a", doc, "m.load", None, code)], "i string, d string, n string, s string, c string")
+        assert bool(docpairs.documented_functions(df, id_col="i", doc_col="d", name_col="n", signature_col="s", code_col="c").count()) is want
+
+
+def test_shared_sentences_of_any_language(spark):
+    empty = ["Da completare più tardi.", "Uzupełnić później.", "Смотри родительский класс.", "Documentação ainda pendente.", "Will be described in the next release."]
+    rows = [(f"{k}{i}", doc, f"m.{a}_{b}", None, None) for k, doc in enumerate(empty) for i, (a, b) in enumerate((a, b) for a in ("lade", "carga", "hent") for b in ("wert", "clave"))]
+    # one function in many versions shares no sentence with others
+    rows += [(f"v{i}", "Legge una volta sola il file.", "m.leggi", None, None) for i in range(9)] + [("one", "Da completare più tardi. Conta le righe non vuote.", "m.conta", None, None)]
+    df = spark.createDataFrame(rows, "i string, d string, n string, s string, c string").withColumn("sentence", F.lit(1))
+    got = docpairs.documented_functions(df, id_col="i", doc_col="d", name_col="n", signature_col="s", code_col="c")
+    assert {r.id for r in got.collect()} == {f"v{i}" for i in range(9)} | {"one"}
+    assert docpairs.documented_functions(df.limit(0), id_col="i", doc_col="d", name_col="n", signature_col="s", code_col="c").collect() == []
+
+
 @pytest.mark.parametrize(
     ("doc", "want"),
     [
