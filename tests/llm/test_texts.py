@@ -317,23 +317,28 @@ def test_mix(spark):
     rng = random.Random(5)
     words = {"a": "red green blue".split(), "b": "one two three".split(), "c": "sun moon star".split()}
     docs = [(i, rng.choice([s, s.upper(), f" {s} "]), " ".join(rng.choices(words[s], k=rng.randrange(5, 60)))) for i, s in enumerate(rng.choices("abc", [60, 38, 2], k=900))]
-    docs += [(1000 + i, None, " ".join(rng.choices(words["c"], k=30))) for i in range(40)] + [(2000, "zz", "no target"), (2001, "a", None), (2002, "a", " "), (None, "a", "x")]
+    docs += [(1000 + i, [None, "zz", " "][i % 3], " ".join(rng.choices(words["c"], k=30))) for i in range(40)] + [(2001, "a", None), (2002, "a", " "), (None, "a", "x")]
     targets = spark.createDataFrame([("A ", 0.3, 2), ("b", 0.5, 3), ("c", 0.1, 2), ("none", 0.1, 5), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({"id": F.lit(1), "n_tokens": F.lit(1)})
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({"id": F.lit(1), "n_tokens": F.lit(1), "bin": F.lit("x")})
     chosen, shares = mixing.mix(df, targets, id_col="doc_id", source_col="source", text_col="text")
     rows, report = chosen.collect(), {r.source: r for r in shares.collect()}
     assert set(report) == {"a", "b", "c", "none"}
     for name in "ab":
         r = report[name]
         used = sum(x.n_tokens * x.repeats for x in rows if x.source == name)
-        assert used == r.labelled_tokens and abs(used + r.soft_tokens - r.goal_tokens) < 100
-    cap = {"a": 2, "b": 3, "c": 2, None: 1}
-    assert all(1 <= x.repeats <= cap[x.source] for x in rows) and len({x.id for x in rows}) == len(rows)
+        assert used == r.labelled_tokens and abs(used - r.goal_tokens) < 60
+    cap = {"a": 2, "b": 3, "c": 2}
+    assert all(1 <= x.repeats <= cap.get(x.source, 1) for x in rows) and len({x.id for x in rows}) == len(rows)
+    assert {x.membership for x in rows if x.source in cap} == {"labelled"} and {x.membership for x in rows if x.id >= 1000} == {"soft"}
     assert report["c"].labelled_tokens == 2 * report["c"].available_tokens  # short: every document at its cap
-    assert report["c"].soft_tokens > 0 and report["none"].labelled_tokens == 0
+    # the documents of other sources and of none fill what it lacks
+    assert report["c"].soft_tokens > 200 and report["none"].labelled_tokens == 0 and report["a"].soft_tokens + report["b"].soft_tokens < 100
     assert sum(r.reached_share for r in report.values()) == pytest.approx(1.0, abs=1e-3)
+    assert report["a"].distance_after < report["a"].distance_before
     nothing = mixing.mix(df.limit(0), targets, id_col="doc_id", source_col="source", text_col="text")
     assert nothing[0].collect() == [] and nothing[1].count() == 4
+    none = mixing.mix(df, targets.limit(0), id_col="doc_id", source_col="source", text_col="text")
+    assert none[0].collect() == [] and none[1].collect() == []
 
 
 def test_classifier_on_held_out_documents():
@@ -341,10 +346,23 @@ def test_classifier_on_held_out_documents():
     truth = rng.dirichlet(np.full(mixing.FEATURES, 0.05), size=4)
     draw = lambda k, n: rng.multinomial(n, truth[k])
     sums = np.stack([sum(draw(k, 80) for _ in range(50)) for k in range(4)])
-    held = [(k, draw(k, 60)) for k in range(4) for _ in range(30)]
-    p = mixing.posteriors(np.stack([x for _, x in held]), mixing.log_likelihoods(sums), np.full(4, 0.25))
-    assert np.mean(p.argmax(axis=1) == np.array([k for k, _ in held])) > 0.95
-    assert np.allclose(p.sum(axis=1), 1)
+    held = [(k, mixing._packed(draw(k, 60))) for k in range(4) for _ in range(30)]
+    packed, labels = [x for _, x in held], np.array([k for k, _ in held])
+    fit, quality = mixing.Classifier(mixing.log_likelihoods(sums), np.full(4, 0.25)).tempered(packed, labels)
+    p = fit.posteriors(packed)
+    assert quality["accuracy"] == np.mean(p.argmax(axis=1) == labels) > 0.95 and np.allclose(p.sum(axis=1), 1)
+    # labels that the texts do not tell leave the prior
+    vague, quality = mixing.Classifier(mixing.log_likelihoods(sums), np.full(4, 0.25)).tempered(packed, rng.integers(0, 4, len(labels)))
+    assert quality["calibration_error"] < 0.2 and vague.posteriors(packed).max() < 0.6
+
+
+def test_rates_and_edges():
+    tokens = np.array([[100.0, 0.0], [0.0, 50.0], [30.0, 30.0]])
+    rate = mixing.fitted_rates(tokens, np.array([2.0, 1.0, 1.0]), np.array([180.0, 70.0]))
+    assert np.abs(rate @ tokens - [180, 70]).max() < 1 and (rate >= 0).all() and (rate <= [2, 1, 1]).all()
+    # one giant document and many small ones: the giant does not fit, and the small ones make up for it
+    edges = mixing.partial_edges({15: {3: 40_000}, 5: {b: 40 for b in range(1000)}}, 0.4)
+    assert edges[15] == 3 and abs(sum(40 for b in range(1000) if b < edges[5]) - 32_000) <= 20
 
 
 KNOWN = frozenset("the a of and to in is it that for on with as so if when then than but or at by be are was will which who this these they we you your their its once more most not no has have can each every any one before after while".split())
