@@ -20,8 +20,8 @@ from graphweft.session import written
 
 #: Buckets at most; more buckets pad less and make the plan longer.
 BUCKETS = 256
-#: Parts that the items of one length are ranked in, so that a length that a third of all items have is no one task.
-SALTS = 16
+#: Items (about) that are ranked in one part: a length that many items have is split into as many parts as that takes.
+PER_PART = 50_000
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -101,7 +101,7 @@ def container_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> tup
     return runs, containers
 
 
-def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack_col: str, capacity_col: str, buckets: int = BUCKETS) -> DataFrame:
+def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack_col: str, capacity_col: str, buckets: int = BUCKETS, per_part: int = PER_PART) -> DataFrame:
     """Assign every item to a container of each capacity: ``pack, id, piece, start, size, container``.
 
     An item larger than the capacity is cut into full pieces and a rest (``start`` is where a piece begins); no
@@ -120,11 +120,10 @@ def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack
     every = sizes.select("*", F.explode(given).alias("given")).select("id", "total", "copy", "given.pack", "given.capacity")
     pieces = every.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / F.col("capacity")).cast("int") - 1)))
     pieces = pieces.select("pack", "capacity", "id", "copy", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.least("capacity", F.col("total") - F.col("piece") * F.col("capacity")).alias("size"))
-    pieces = written(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "copy"), F.lit(SALTS)).cast("int")))
+    pieces = written(pieces)
 
-    counts = pieces.groupBy("pack", "capacity", "size", "salt").agg(F.count("*").alias("n"))
-    histogram = written(counts)
-    rows = histogram.groupBy("pack", "capacity", "size").agg(F.sum("n").alias("n")).orderBy("pack", "size").collect()
+    # the histogram: at most as many lengths as the capacities have tokens
+    rows = pieces.groupBy("pack", "capacity", "size").agg(F.count("*").alias("n")).orderBy("pack", "size").collect()
     plans: dict[str, tuple] = {}
     for name in dict.fromkeys(r["pack"] for r in rows):
         own = [r for r in rows if r["pack"] == name]
@@ -136,20 +135,17 @@ def pack(items: DataFrame, packs: DataFrame, *, id_col: str, size_col: str, pack
         plans[name] = (bounds, table[np.lexsort((table[:, 1], table[:, 0]))])
     shipped = spark.sparkContext.broadcast(plans)
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch]).to_pandas()
-            t["bucket"] = 0
-            for name, part in t.groupby("pack"):
-                t.loc[part.index, "bucket"] = np.searchsorted(shipped.value[name][0], part["size"].to_numpy())
-            yield from pa.Table.from_pandas(t[["pack", "size", "salt", "n", "bucket"]].astype({"bucket": "int32"}), preserve_index=False).to_batches()
-
+    # every length is split by its count, so that no part grows with the share that a length has of all items
+    lengths = spark.createDataFrame(
+        [(r["pack"], r["size"], int(np.searchsorted(plans[r["pack"]][0], r["size"])), -(-r["n"] // per_part)) for r in rows], "pack string, size int, bucket int, parts int"
+    )
+    split = pieces.join(F.broadcast(lengths), ["pack", "size"]).withColumn("part", F.pmod(F.xxhash64("id", "piece", "copy"), F.col("parts")).cast("int"))
+    # where the items of a part begin in their bucket: one row per part
+    cells = split.groupBy("pack", "bucket", "size", "part").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("base", F.sum("n").over(Window.partitionBy("pack", "bucket").orderBy("size", "part")) - F.col("n"))
+    within = F.row_number().over(Window.partitionBy("pack", "size", "part").orderBy("id", "piece", "copy"))
     # (merged, not broadcast: both sides are already distributed by these columns)
-    # where the items of a length and salt begin in their bucket: one row per pack, length and salt
-    cells = histogram.select("pack", "size", "salt", "n").mapInArrow(bucket, "pack string, size int, salt int, n long, bucket int")
-    cells = cells.withColumn("base", F.sum("n").over(Window.partitionBy("pack", "bucket").orderBy("size", "salt")) - F.col("n"))
-    within = F.row_number().over(Window.partitionBy("pack", "size", "salt").orderBy("id", "piece", "copy"))
-    ranked = pieces.withColumn("within", within).join(cells.select("pack", "size", "salt", "bucket", "base").hint("merge"), ["pack", "size", "salt"])
+    ranked = split.withColumn("within", within).join(cells.select("pack", "size", "part", "base").hint("merge"), ["pack", "size", "part"])
     ranked = ranked.select("pack", "id", "piece", "start", "size", "bucket", (F.col("base") + F.col("within") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

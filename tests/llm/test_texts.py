@@ -307,6 +307,15 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), packs, id_col="id", size_col="n", pack_col="name", capacity_col="capacity").collect() == []
 
 
+def test_pack_splits_a_length_by_its_count(spark):
+    items = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 50).otherwise((F.col("id") % 40 + 1).cast("int")).alias("n"))
+    packs = spark.createDataFrame([("s", 50)], "name string, capacity int")
+    args = {"id_col": "id", "size_col": "n", "pack_col": "name", "capacity_col": "capacity"}
+    few = packing.pack(items, packs, **args, per_part=20)
+    fill = [packing.fill_report(p.select("pack", "container", "size"), packs, pack_col="name", capacity_col="capacity").first() for p in (few, packing.pack(items, packs, **args))]
+    assert fill[0] == fill[1] and fill[0].n_pieces == 4000 and fill[0].fullest == 50 and fill[0].fill > 0.97
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "one two"), (2, None), (3, " \n"), (4, "é" * 5000), (5, "<|endoftext|>")], "i long, t string").withColumn("n_chars", F.lit(1))
     got = {r.i: r.n_tokens for r in tokens.with_tokens(df, text_col="t", keep=["i"]).collect()}
