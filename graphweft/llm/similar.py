@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from graphweft.session import parallelism, written
 
-#: Rows and numbers of a block at most (about): two blocks in double precision take 64 MB, whatever the dimensions.
-BLOCK_ROWS, BLOCK_NUMBERS = 32_768, 1 << 22
+#: Rows and numbers of a block at most (about): two blocks in double precision take 128 MB, whatever the dimensions.
+BLOCK_ROWS, BLOCK_NUMBERS = 262_144, 1 << 23
+#: Copies of one vector (about) that are given their list in one part.
+PER_PART = 100_000
 #: Rows of a tile: its int8 product takes 4 MB.
 TILE = 1024
 #: float32 error of a product of int8 numbers after scaling, and of the double precision results' rounding.
@@ -33,9 +35,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1).astype(np.float64)
     m /= np.abs(m).max(axis=1, keepdims=True)  # no overflow in the squares
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -48,7 +49,7 @@ def _quantised(m: np.ndarray) -> tuple[np.ndarray, float, float]:
 
 
 class _Best:
-    """The k best partners of each row so far; larger similarity first, then the smaller id."""
+    """The k best partners of each row so far; larger similarity first, then the smaller number."""
 
     def __init__(self, n: int, k: int, least: float):
         self.k, self.least = k, least
@@ -72,13 +73,11 @@ class _Best:
 
 def _block_pair(k: int, least: float | None):
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_pylist()
-        order = np.empty(len(ids), dtype=np.int64)
-        order[np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)] = np.arange(len(ids))
+        order = table["no"].to_numpy()
         m, wanted, block = _unit(table["vec"]), table["wanted"].to_numpy(), table["block"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        best = _Best(len(ids), k, -2.0 if least is None else least)
+        best = _Best(len(order), k, -2.0 if least is None else least)
         if not len(left) or not len(right):
             left = right = np.empty(0, dtype=np.int64)
         else:
@@ -113,13 +112,13 @@ def _block_pair(k: int, least: float | None):
                     sim = np.round(np.einsum("ij,ij->i", m[p], m[q]), DIGITS)
                     best.add(p[wanted[p]], q[wanted[p]], sim[wanted[p]], order)
                     best.add(q[wanted[q]], p[wanted[q]], sim[wanted[q]], order)
-        return pa.table({"id": table["id"].take(pa.array(best.row)), "other": table["id"].take(pa.array(best.other)), "sim": best.sim})
+        return pa.table({"no": order[best.row], "other": order[best.other], "sim": best.sim})
 
     return run
 
 
 def _merge(k: int):
-    """Rows sorted by id: the k best of each run, by a heap that holds k of them."""
+    """Rows sorted by number: the k best of each run, by a heap that holds k of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True))
@@ -127,10 +126,10 @@ def _merge(k: int):
         for _, run_ in groupby(rows, key=lambda r: r[0]):
             out += heapq.nsmallest(k, run_, key=lambda r: (-r[2], r[1]))
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["id", "other", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["no", "other", "sim"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["id", "other", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["no", "other", "sim"])
 
     return run
 
@@ -146,7 +145,9 @@ def most_similar(vectors: DataFrame, *, id_col: str, vector_col: str, space_cols
     Ids should be unique: of repeated ids the first by vector stays. No rows give no rows.
 
     Exact copies are compared once: each distinct vector is kept with its ``k + 1`` smallest ids, which is all
-    that any list can show of them. The result is exact; work grows with the square of the distinct vectors.
+    that any list can show of them. The result is exact; work grows with the square of the distinct vectors. With b
+    blocks each of n distinct vectors of d numbers is shipped to b tasks, n * b * (8 d + 24) bytes in all; b is
+    n / BLOCK_ROWS or n * d / BLOCK_NUMBERS, and at least what keeps all cores busy.
     """
     spark = vectors.sparkSession
     spaces = [F.col(c).cast("string") for c in space_cols or []]
@@ -156,23 +157,33 @@ def most_similar(vectors: DataFrame, *, id_col: str, vector_col: str, space_cols
     rows = written(rows)
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("space", "vec").orderBy("id"))).where(F.col("rn") <= k + 1)
     members = first.groupBy("space", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    hot = rows.groupBy("space", "vec").agg(F.max("wanted").alias("wanted"))
-    reps = written(members.join(hot, ["space", "vec"]).withColumn("id", F.col("ids")[0]))
+    hot = rows.groupBy("space", "vec").agg(F.max("wanted").alias("wanted"), F.count("*").alias("copies"))
+    # numbered in the order of the ids, so that numbers stand for ids in the tasks, ties included
+    reps = members.join(hot, ["space", "vec"]).withColumn("id", F.col("ids")[0]).orderBy("id").withColumn("no", F.monotonically_increasing_id())
+    reps = written(reps)
 
     # blocks: as many as keep a block small, and enough pairs of them to fill the cluster
     least_blocks = int(np.ceil(np.sqrt(4 * parallelism(spark))))
     sizes = reps.groupBy("space").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims"))
-    counts = sizes.select("space", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n") * F.col("dims") / BLOCK_NUMBERS), F.least(F.lit(least_blocks), F.ceil(F.col("n") / TILE))).cast("int").alias("blocks"))
-    placed = reps.join(counts, "space").select("space", "id", "vec", "wanted", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    pairs = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", F.least("block", "b").alias("low"), F.greatest("block", "b").alias("high"), "block", "id", "vec", "wanted")
-    near = pairs.groupBy("space", "low", "high").applyInArrow(_block_pair(k, min_similarity), "id string, other string, sim double")
-    near = near.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(k), "id string, other string, sim double")
+    counts = written(sizes.select("space", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n") * F.col("dims") / BLOCK_NUMBERS), F.least(F.lit(least_blocks), F.ceil(F.col("n") / TILE))).cast("int").alias("blocks")))
+    n_pairs = counts.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    placed = reps.join(counts, "space").select("space", "no", "vec", "wanted", "blocks", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int").alias("block"))
+    pairs = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("space", F.least("block", "b").alias("low"), F.greatest("block", "b").alias("high"), "block", "no", "vec", "wanted")
+    # a given number of partitions is not made smaller: pairs of blocks are much work for few bytes
+    pairs = pairs.repartition(max(int(n_pairs), parallelism(spark)), "space", "low", "high")
+    near = pairs.groupBy("space", "low", "high").applyInArrow(_block_pair(k, min_similarity), "no long, other long, sim double")
+    near = near.repartition("no").sortWithinPartitions("no").mapInArrow(_merge(k), "no long, other long, sim double")
 
     # back to all rows: copies first, then the members of the neighbours
-    ids = reps.select(F.col("id").alias("other"), F.col("ids").alias("other_ids"))
-    lists = near.join(ids, "other").groupBy(F.col("id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("other_ids").alias("ids")))).alias("near"))
-    known = reps.join(lists, reps["id"] == lists["rep"], "left").select("space", "vec", "ids", "near")
-    every = rows.where("wanted").join(known, ["space", "vec"]).select("id", "ids", "near")
+    ids = reps.select(F.col("no").alias("other"), F.col("ids").alias("other_ids"))
+    lists = near.join(ids, "other").groupBy("no").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("other_ids").alias("ids")))).alias("near"))
+    known = reps.join(lists, "no", "left").select("space", "vec", "ids", "near", F.ceil(F.col("copies") / PER_PART).cast("int").alias("parts"))
+    # a vector that very many rows have is met in as many parts as that takes; there are few such vectors
+    many = reps.where(F.col("copies") > PER_PART).select("space", "vec", F.ceil(F.col("copies") / PER_PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    asked = rows.where("wanted").join(F.broadcast(many), ["space", "vec"], "left").select("id", "space", "vec", part)
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = asked.join(known, ["space", "vec", "part"]).select("id", "ids", "near")
     own = F.transform(F.array_except("ids", F.array("id")), lambda i: F.struct(F.lit(-2.0).alias("d"), i.alias("i")))
     others = F.flatten(F.transform(F.coalesce("near", F.array().cast("array<struct<d:double,ids:array<string>>>")), lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("i")))))
     best = F.slice(F.array_sort(F.concat(own, others)), 1, k)

@@ -48,6 +48,7 @@ def brute(vectors, k):
 def test_similar(spark, monkeypatch, least):
     monkeypatch.setattr(similar, "TILE", 16)
     monkeypatch.setattr(similar, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similar, "PER_PART", 20)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 8))
     vecs = [(f"v{i:03}", [float(x) for x in v]) for i, v in enumerate(base)]
