@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.session import written, written_path
+from graphweft.session import discard, removed, written, written_path
 
 #: Link types by hierarchy, and which end is the parent (fixed values of the graph's vocabulary).
 OWNERSHIP, INHERITANCE = ("CONTAINS", "DECLARES", "HAS_METHOD"), ("INHERITS",)

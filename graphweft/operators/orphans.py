@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.session import written
+from graphweft.session import discard, written
 
 #: Keys of one range: packed bits over it take at most 8 KB, whatever the number of all keys is.
 KEYS_PER_RANGE = 65_536
@@ -186,7 +186,9 @@ def dictionary(facts: DataFrame, refs: DataFrame) -> DataFrame:
     keys = written(every.groupBy("k").agg(*[F.max(c).alias(c) for c in ("known", "first_created", "deleted", "recreated")]))
     ranges = max(1, -(-keys.count() // (KEYS_PER_RANGE // 2)))
     rows = keys.withColumn("r", F.pmod(F.xxhash64("k"), F.lit(ranges)))
-    return written(rows.withColumn("code", (F.row_number().over(Window.partitionBy("r").orderBy("k")) - 1).cast("long")))
+    out = written(rows.withColumn("code", (F.row_number().over(Window.partitionBy("r").orderBy("k")) - 1).cast("long")))
+    discard(keys)
+    return out
 
 
 def orphan_slots(keys: DataFrame, refs: DataFrame) -> DataFrame:
@@ -202,7 +204,9 @@ def orphan_slots(keys: DataFrame, refs: DataFrame) -> DataFrame:
     rows = events.unionByName(coded.select("r", "code", F.lit(REFERENCED).cast("long").alias("kind"), "slot"))
     maps = rows.mapInArrow(_built, "r long, period long, kind long, bitmap binary")
     found = maps.groupBy("r").applyInArrow(_range_orphans, "r long, code long, slot long")
-    return found.join(coded, ["r", "code", "slot"]).join(keys, ["r", "code"]).drop("r", "code")
+    out = written(found.join(coded, ["r", "code", "slot"]).join(keys, ["r", "code"]).drop("r", "code"))
+    discard(coded)
+    return out
 
 
 def orphan_references(links: DataFrame, parents: DataFrame, tombstones: DataFrame, *, link_id: str = "edge_id", ends: dict[str, str] | None = None, loaded: str = "loaded_at", key: str = "node_id", created: str = "created_at", deleted: str = "deleted_at", period: str = "month") -> DataFrame:
@@ -216,7 +220,8 @@ def orphan_references(links: DataFrame, parents: DataFrame, tombstones: DataFram
     ends = ends or {"source": "source_node_id", "target": "target_node_id"}
     refs = written(reference_ends(links, link_id, ends, loaded, period).withColumn("slot", F.floor(F.col("loaded") / SLOT).cast("long")))
     keys = dictionary(key_facts(parents, tombstones, key, created, deleted), refs)
-    suspects = written(orphan_slots(keys, refs))
+    suspects = orphan_slots(keys, refs)
+    discard(keys)
     reason = (
         F.when(F.col("known").isNull(), "missing")
         .when(F.col("first_created").isNull() | (F.col("first_created") > F.col("loaded")), "late")

@@ -17,6 +17,7 @@ class Search:
     """A candidate search: query text, scope and size of the answer."""
 
     query: str
+    graph_id: str | None = None
     graph_ids: tuple[str, ...] = ()
     kinds: tuple[str, ...] = ()
     top_k: int = 8
@@ -25,10 +26,17 @@ class Search:
     def __post_init__(self):
         if not self.query.strip():
             raise InvalidInput("the query is blank")
+        if self.graph_id and self.graph_ids:
+            raise InvalidInput("give one graph_id or several graph_ids, not both")
         if not 1 <= self.top_k <= 50:
             raise InvalidInput("top_k must lie between 1 and 50")
         object.__setattr__(self, "terms", tuple(re.findall(r"[a-zA-Z0-9_]+", self.query.lower())))
 
+    @property
+    def scope(self) -> tuple[str, ...]:
+        """The graphs to search in; none means all."""
+        return (self.graph_id,) if self.graph_id else self.graph_ids
+
     @property
     def distinct_terms(self) -> dict[str, int]:
         """Query terms in order of appearance with the number of times that each occurs."""

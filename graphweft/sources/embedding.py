@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from graphweft.functions import text, vector
 
 
+#: Provider, model and schema version of the hash embedding (fixed values).
+HASH_EMBEDDING = ("hash", "deterministic-hash", "v1")
+
+
 class Provider(Protocol):
     """Turns texts into vectors; pickled to the workers, so it must not hold connections."""
 
@@ -34,7 +38,7 @@ def embed_nodes_hashed(nodes: DataFrame, keep_empty: bool = False) -> DataFrame:
     eligible = F.col("kind").isin(*text.EMBEDDABLE)
     source = text.embedding_text_keeping_empty() if keep_empty else text.embedding_text()
     out = nodes.withColumn("embedding_text", F.when(eligible, source))
-    fixed = {"embedding_provider": "hash", "embedding_model": f"hash-{vector.DIMENSIONS}", "embedding_schema_version": "v1"}
+    fixed = dict(zip(("embedding_provider", "embedding_model", "embedding_schema_version"), HASH_EMBEDDING, strict=True))
     return out.withColumns({"embedding": F.when(eligible, hash_vector(F.col("embedding_text"))), "embedding_dimensions": F.when(eligible, F.lit(vector.DIMENSIONS)), **{k: F.when(eligible, F.lit(v)) for k, v in fixed.items()}})
 
 

@@ -24,10 +24,15 @@ FACTS = (
     "is_async boolean, is_method boolean, is_classmethod boolean, is_staticmethod boolean, returns_annotation string, warning string"
 )
 _NAMES = [f.split()[0] for f in FACTS.split(", ")]
+#: Parameters of a function, in the order of its definition; they become rows by an expression.
+_PARAMETERS = "array<struct<name: string, kind: string, annotation: string, first: int, last: int>>"
+#: Names of parameters that a caller does not give (fixed values).
+_BOUND = ("self", "cls")
 #: Labels of statements in a logic skeleton (fixed values).
 STEPS = {ast.Assign: "assign", ast.AnnAssign: "annotate", ast.If: "branch", ast.For: "loop", ast.While: "while", ast.Try: "try", ast.Return: "return", ast.Expr: "expr"}
+#: Summaries of what has no documentation: a text and the column that ends it (fixed values).
 SUMMARIES = {
-    "Module": ("Public module ", "qualified"), "Class": ("Public class ", "name"), "Function": ("Public callable ", "qualified"), "Parameter": ("Public API parameter ", "name"),
+    "Module": ("Public module ", "qualified"), "Class": ("Public class ", "name"), "Function": ("Public function ", "name"), "Parameter": ("Public API parameter ", "name"),
     "ReturnType": ("Declared return type ", "annotation"), "Exception": ("Public API may raise ", "name"), "Example": ("Usage example for ", "parent"),
 }
 
@@ -77,11 +82,8 @@ class _Facts:
         raises = list(dict.fromkeys(map(ast.unparse, thrown)))
         self.add(
             "Function", f.name, qualified, parent, parent_kind, f, doc=doc, signature=f.name + ast.unparse(f.args), steps=self.steps(f.body), raises=raises, returns_annotation=_unparsed(f.returns),
-            is_async=isinstance(f, ast.AsyncFunctionDef), is_method=parent_kind == "Class", is_classmethod="classmethod" in marks, is_staticmethod="staticmethod" in marks,
+            is_async=isinstance(f, ast.AsyncFunctionDef), is_method=parent_kind == "Class", is_classmethod="classmethod" in marks, is_staticmethod="staticmethod" in marks, parameters=self.parameters(f.args),
         )
-        for place, a in enumerate(f.args.posonlyargs + f.args.args + f.args.kwonlyargs):
-            if a.arg not in ("self", "cls"):
-                self.add("Parameter", a.arg, f"{inside}:{a.arg}", qualified, "Function", a, annotation=_unparsed(a.annotation), position=place, parameter_kind="keyword_only" if a in f.args.kwonlyargs else "positional")
         if f.returns is not None:
             self.add("ReturnType", "return", f"{inside}:return", qualified, "Function", f, annotation=_unparsed(f.returns))
         for name in raises:
@@ -89,6 +91,11 @@ class _Facts:
         for k, code in enumerate(docstring_examples(doc)):
             self.add("Example", f"example_{k}", f"{qualified}:example:{k}", qualified, "Function", code=code)
 
+    @staticmethod
+    def parameters(args: ast.arguments) -> list[dict]:
+        lists = {"positional": [*args.posonlyargs, *args.args], "keyword_only": args.kwonlyargs}
+        return [{"name": p.arg, "kind": kind, "annotation": _unparsed(p.annotation), "first": p.lineno, "last": p.end_lineno} for kind, members in lists.items() for p in members]
+
     @staticmethod
     def steps(body: list[ast.stmt]) -> list[str]:
         return [STEPS[type(s)] for s in body if type(s) in STEPS]
@@ -124,7 +131,7 @@ def file_facts(graph_id: str, path: str, module: str, source: str) -> list[dict]
 
 
 def _public(module):
-    return ~F.exists(F.split(module, r"\."), lambda p: p.startswith("_"))
+    return ~F.exists(F.split(module, r"\."), lambda p: p.startswith("_") & (p != "__init__"))
 
 
 def api_facts(files: DataFrame) -> DataFrame:
@@ -138,15 +145,29 @@ def api_facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [r for file in zip(*[c.to_pylist() for c in batch.columns], strict=True) for r in file_facts(*file)]
             schema = schema or _arrow_schema()
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in _NAMES} for r in rows], schema=schema)
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
     rows = files.select("graph_id", "path", "module", "source").where("graph_id is not null and path is not null and module is not null and source is not null")
-    return rows.where(_public(F.col("module"))).mapInArrow(run, FACTS)
+    return _with_parameters(rows.where(_public(F.col("module"))).mapInArrow(run, f"{FACTS}, parameters {_PARAMETERS}"))
+
+
+def _with_parameters(facts: DataFrame) -> DataFrame:
+    """The facts, each function followed by a row per parameter with its place; bound ones keep theirs but no row."""
+    itself = F.array(F.lit(None).cast(facts.schema["parameters"].dataType.elementType))
+    rows = facts.select("*", F.posexplode(F.concat(itself, F.coalesce("parameters", F.array().cast(facts.schema["parameters"].dataType)))).alias("place", "p"))
+    rows = rows.where(F.col("p").isNull() | ~F.col("p.name").isin(*_BOUND))
+    own = {
+        "kind": F.lit("Parameter"), "name": F.col("p.name"), "qualified": F.concat_ws(":", F.substring_index("qualified", ":", -1), "p.name"), "parent": F.col("qualified"), "parent_kind": F.lit("Function"),
+        "first": F.col("p.first"), "last": F.col("p.last"), "annotation": F.col("p.annotation"), "position": F.col("place") - 1, "parameter_kind": F.col("p.kind"),
+        **{c: F.col(c) for c in ("graph_id", "path", "module")},
+    }
+    return rows.select(*[F.when(F.col("p").isNull(), F.col(c)).otherwise(own.get(c, F.lit(None))).alias(c) for c in _NAMES])
 
 
 def _arrow_schema() -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FACTS.split(", ")])
+    parameter = pa.struct([("name", pa.string()), ("kind", pa.string()), ("annotation", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
+    return pa.schema([*[(f.split()[0], kinds[f.split()[1]]) for f in FACTS.split(", ")], ("parameters", pa.list_(parameter))])
 
 
 def api_nodes(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
