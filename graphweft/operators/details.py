@@ -9,12 +9,52 @@ from graphweft.functions import text
 from graphweft.params import Details
 
 
-def nodes_by_ids(nodes: DataFrame, request: Details) -> DataFrame:
-    """The requested nodes; columns that the flags leave out are null. At most 100 ids, so a pushed-down IN."""
+def shown(nodes: DataFrame, request: Details) -> DataFrame:
+    """Nodes as a lookup shows them; columns that its flags leave out are null."""
     keep = lambda c, flag: F.col(c) if flag else F.lit(None).cast("string").alias(c)
-    return nodes.where(F.col("node_id").isin(*request.node_ids)).select(
-        "node_id", "graph_id", "kind", "name", "qualified_name", "signature", keep("docstring", request.docstring), keep("logic_skeleton", request.skeleton), keep("source_excerpt", request.excerpt)
+    return nodes.select("node_id", "graph_id", "kind", "name", "qualified_name", "signature", keep("docstring", request.docstring), keep("logic_skeleton", request.skeleton), keep("source_excerpt", request.excerpt))
+
+
+def nodes_by_ids(nodes: DataFrame, request: Details) -> DataFrame:
+    """The requested nodes. At most 100 ids, so a pushed-down IN."""
+    return shown(nodes.where(F.col("node_id").isin(*request.node_ids)), request)
+
+
+#: Place and metadata that an answer gives with a node.
+PLACE = ("source_path", "line_start", "line_end")
+
+
+def answers(nodes: DataFrame, edges: DataFrame, requests: DataFrame, flags: Details) -> DataFrame:
+    """The answer of each lookup: ``request, nodes, edges, expanded_context, missing_node_ids``.
+
+    ``requests`` has ``request, pos, node_id``, some hundred ids a lookup at most; ``nodes`` are current rows, whose
+    place columns and ``metadata`` (if they are there) come along. ``flags`` says what is included; without its
+    ``relationships`` there are no edges. Nodes and missing ids keep the order of the request, repeated ids count
+    once as nodes; edges are the distinct links between nodes of the lookup.
+    """
+    asked = requests.where("node_id is not null").groupBy("request", "node_id").agg(F.min("pos").alias("pos"))
+    held = [c for c in (*PLACE, "metadata") if c in nodes.columns]
+    said = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("docstring", "logic_skeleton", "signature")], F.lit(""))
+    item = F.concat_ws("", "kind", F.lit(" "), "qualified_name", F.lit(": "), said).alias("item")
+    full = nodes.select("node_id", F.struct(*held).alias("more")) if held else nodes.select("node_id", F.lit(None).cast("string").alias("more"))
+    found = asked.join(shown(nodes, flags).join(full, "node_id"), "node_id", "left")
+    card = F.struct("node_id", "graph_id", "kind", "name", "qualified_name", "signature", "docstring", "logic_skeleton", "source_excerpt", "more")
+    there = F.col("graph_id").isNotNull() | F.col("kind").isNotNull()
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["x"])
+    rows = found.groupBy("request").agg(
+        ordered(F.when(there, F.struct("pos", card.alias("x")))).alias("nodes"),
+        text.compress(ordered(F.when(there, F.struct("pos", "node_id", item.alias("x")))), 1_000_000).alias("expanded_context"),
+        ordered(F.when(~there, F.struct("pos", F.col("node_id").alias("x")))).alias("missing_node_ids"),
     )
+    link = "array<struct<source_node_id:string,target_node_id:string,type:string>>"
+    if not flags.relationships:
+        return rows.select("request", "nodes", F.array().cast(link).alias("edges"), "expanded_context", "missing_node_ids")
+    member = asked.select("request", "node_id")
+    links = edges.select("source_node_id", "target_node_id", "type").where("source_node_id <> '' and target_node_id <> ''").distinct()
+    one = links.join(member.withColumnRenamed("node_id", "source_node_id"), "source_node_id")
+    both = one.join(member.withColumnRenamed("node_id", "target_node_id"), ["request", "target_node_id"], "left_semi")
+    within = both.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("source_node_id", "target_node_id", "type"))).alias("edges"))
+    return rows.join(within, "request", "left").select("request", "nodes", F.coalesce("edges", F.array().cast(link)).alias("edges"), "expanded_context", "missing_node_ids")
 
 
 def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:

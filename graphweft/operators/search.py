@@ -1,22 +1,26 @@
 """Candidate search: scope, BM25, substring hits, vector similarity, hybrid score, top k.
 
-One query needs one aggregate over its scope (node count, lengths and document frequencies of its terms, a few
-numbers) and one scoring pass that reads the scope's text columns; both stay in generated JVM code. With the
-derived postings and statistics a query reads only its terms.
+The scope is filtered in the scan, before rows of a node are merged, as a node's id fixes its graph and kind. What a
+query asks of a row (length, term frequencies, hits) is computed where the row is read, so that the merge shuffles a
+few numbers instead of texts. One aggregate over the scope gives the statistics, one pass the scores; both stay in
+generated JVM code. With the stored postings and statistics a query reads only its terms.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphweft.functions import scoring, text, vector
 from graphweft.operators.merge import current_rows
 from graphweft.params import Search
+from graphweft.session import parallelism, written
 
+#: Postings of one term (about) that meet its queries in one part.
+PER_PART = 100_000
 #: What a search reads of a node.
 FIELDS = {c: c for c in ("graph_id", "kind", "name", "qualified_name", "source_path", "summary", "docstring", "signature", "is_public")}
 META = {"embedding_text": "metadata.embedding_text", "embedding": "metadata.embedding"}
@@ -48,11 +52,27 @@ def _frequency(term: str) -> Column:
     return F.size(F.filter("tokens", lambda x: x == term))
 
 
-def corpus(scope: DataFrame, search: Search) -> DataFrame:
-    """Scope rows with haystack, length in tokens and the frequency of every query term (``t0``, ``t1``, ...)."""
-    rows = scope.withColumn("haystack", text.haystack()).withColumn("tokens", text.words(F.col("haystack")))
+#: What a search shows of a node.
+SHOWN = ("graph_id", "kind", "name", "qualified_name", "source_path", "is_public", "summary")
+
+
+def features(rows: DataFrame, search: Search, query_vector: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What a search needs of node rows, instead of their texts: length in tokens, the frequency of every query term
+    (``t0``, ``t1``, ...), ``hits``, ``exact_match`` and ``vector_score`` beside the columns shown and ``keep``."""
+    rows = rows.withColumn("haystack", text.haystack()).withColumn("tokens", text.words(F.col("haystack")))
     tf = [_frequency(term).alias(name) for name, term, _ in _terms(search)]
-    return rows.select("*", F.size("tokens").alias("length"), *tf).drop("tokens")
+    sim = vector.similarity(query_vector, F.col("embedding")) if query_vector is not None else F.lit(0.0)
+    return rows.select("node_id", *SHOWN, *keep, F.size("tokens").alias("length"), *tf, hits(search).alias("hits"), exact(search).alias("exact_match"), sim.alias("vector_score"))
+
+
+def current_features(nodes: DataFrame, search: Search, query_vector: Column | None = None) -> DataFrame:
+    """The features of the current rows of the nodes in scope; ``nodes`` holds all states of nodes.
+
+    Scope filters reach the scan: they hold for all states of a node or for none, since its id names graph and kind.
+    """
+    rows = in_scope(nodes, search.scope, search.kinds).withColumns({name: F.col(c) for name, c in META.items()})
+    found = features(rows, search, query_vector, keep=("updated_at",))
+    return current_rows(found, "node_id", "updated_at", {c: c for c in found.columns if c not in ("node_id", "updated_at")})
 
 
 def statistics(rows: DataFrame, search: Search) -> DataFrame:
@@ -85,20 +105,18 @@ def exact(search: Search) -> Column:
     return (F.lower(text.text("name")) == q) | (F.lower(text.text("qualified_name")) == q)
 
 
-def bm25_scores(scope: DataFrame, search: Search) -> DataFrame:
-    """``node_id, bm25`` of the nodes with a positive score. An empty scope gives no rows."""
-    return _with_row(corpus(scope, search), statistics(corpus(scope, search), search)).select("node_id", bm25(search).alias("bm25")).where("bm25 > 0")
+def bm25_scores(found: DataFrame, search: Search) -> DataFrame:
+    """``node_id, bm25`` of the features with a positive score. An empty scope gives no rows."""
+    return _with_row(found, statistics(found, search)).select("node_id", bm25(search).alias("bm25")).where("bm25 > 0")
 
 
-def scored(scope: DataFrame, search: Search, query_vector: Column | None = None) -> DataFrame:
-    """All matches of a scope with ``keyword_score``, ``vector_score``, ``exact_match`` and ``score``.
+def scored(found: DataFrame, search: Search) -> DataFrame:
+    """All matches among the features of a scope with ``keyword_score``, ``vector_score``, ``exact_match`` and ``score``.
 
-    ``query_vector`` is an array expression; without it the vector score is 0. Rows without a hit, a BM25 score,
-    a vector score and an exact match drop out. Null texts count as empty, a null ``is_public`` as not public.
+    Rows without a hit, a BM25 score, a vector score and an exact match drop out. Null texts count as empty, a null
+    ``is_public`` as not public.
     """
-    rows = _with_row(corpus(scope, search), statistics(corpus(scope, search), search))
-    sim = vector.similarity(query_vector, F.col("embedding")) if query_vector is not None else F.lit(0.0)
-    rows = rows.withColumns({"bm25": bm25(search), "hits": hits(search), "vector_score": sim, "exact_match": exact(search)})
+    rows = _with_row(found, statistics(found, search)).withColumn("bm25", bm25(search))
     rows = rows.where((F.col("hits") > 0) | (F.col("bm25") > 0) | (F.col("vector_score") != 0) | F.col("exact_match"))
     keyword = F.when(F.col("bm25") > 0, F.col("bm25")).otherwise(F.col("hits") / F.lit(max(len(search.terms), 1)))
     rows = rows.withColumn("keyword_score", keyword)
@@ -115,13 +133,34 @@ def best(matches: DataFrame, k: int) -> DataFrame:
 
 
 def search_candidates(nodes: DataFrame, search: Search, query_vector: Column | None = None) -> DataFrame:
-    """The candidate search over current node rows (see ``searchable``)."""
-    return best(scored(in_scope(nodes, search.graph_ids, search.kinds), search, query_vector), search.top_k)
+    """The candidate search over all states of nodes. ``query_vector`` is an array expression; without it the vector
+    score is 0."""
+    return best(scored(current_features(nodes, search, query_vector), search), search.top_k)
 
 
 def route_graphs(top: DataFrame) -> DataFrame:
-    """The best score of each graph among the top rows, at least 0."""
-    return top.groupBy("graph_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+    """The best score of each graph among the top rows, at least 0, and its place by it (ties by graph id)."""
+    routed = top.groupBy("graph_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+    # there are no more graphs than top rows
+    return routed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "graph_id")))
+
+
+def answer(top: DataFrame, search: Search, with_vectors: bool) -> DataFrame:
+    """The answer of a candidate search, one row: ``query, requested_graph_id, requested_graph_ids,
+    resolved_graph_ids, routed_graphs, candidate_count, top_matches, context_preview, warnings``.
+
+    ``top`` has ``top_k`` rows at most. Routed graphs come best first, matches in the order of ``best``.
+    """
+    texts = lambda items: F.array(*[F.lit(x) for x in items]).cast("array<string>")
+    warnings = () if with_vectors else ("Vector search is disabled because no embedding provider is configured.",)
+    cards = F.struct(*[F.col(c) for c in ORDER], F.struct("node_id", "graph_id", "kind", "name", "qualified_name", "summary", "score").alias("card"))
+    matches = top.agg(F.count("*").alias("candidate_count"), F.transform(F.sort_array(F.collect_list(cards), asc=False), lambda x: x["card"]).alias("top_matches"))
+    routed = route_graphs(top).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "graph_id", "score"))), lambda x: F.struct(x["graph_id"].alias("graph_id"), x["score"].alias("score"))).alias("routed_graphs"))
+    shown = _with_row(_with_row(matches, routed), preview(top))
+    return shown.select(
+        F.lit(search.query).alias("query"), F.lit(search.graph_id).cast("string").alias("requested_graph_id"), texts(search.graph_ids).alias("requested_graph_ids"), texts(search.scope).alias("resolved_graph_ids"),
+        "routed_graphs", "candidate_count", "top_matches", "context_preview", texts(warnings).alias("warnings"),
+    )
 
 
 def preview(top: DataFrame, n: int = 3) -> DataFrame:
@@ -132,11 +171,51 @@ def preview(top: DataFrame, n: int = 3) -> DataFrame:
     return top.agg(text.compress(F.slice(items, 1, n), n).alias("context_preview"))
 
 
-def index_profile_scores(nodes: DataFrame, search: Search, query_vector: Column) -> DataFrame:
-    """Vector scan of the index profile: the ``max(4 top_k, 20)`` nearest of all nodes, the scope only after that."""
+def nearest(nodes: DataFrame, search: Search, query_vector: Column) -> DataFrame:
+    """Vector scan of the index profile: the ``max(4 top_k, 20)`` nearest of all nodes, the scope only after that.
+
+    ``nodes`` are current rows with embeddings (``searchable``).
+    """
     near = nodes.withColumn("vector_score", vector.similarity(query_vector, F.col("embedding"))).where(F.col("embedding").isNotNull())
     near = near.orderBy(F.desc("vector_score"), F.desc("node_id")).limit(max(4 * search.top_k, 20))
-    return in_scope(near, search.graph_ids, search.kinds).select("node_id", "vector_score")
+    return in_scope(near, search.scope, search.kinds).select("node_id", "vector_score")
+
+
+def search_by_index(nodes: DataFrame, search: Search, query_vector: Column) -> DataFrame:
+    """The search of the index profile over current rows with embeddings: vector scores of the ``nearest`` alone,
+    hits of the query's parts between white space, and nodes that do not say so count as public."""
+    parts = search.query.lower().split()
+    hit = _sum([F.when(F.contains("haystack", F.lit(t)), 1).otherwise(0) for t in parts]).cast("int")
+    rows = in_scope(nodes, search.scope, search.kinds).withColumns({"haystack": text.haystack(), "is_public": F.coalesce("is_public", F.lit(True))})
+    found = features(rows, search, keep=()).drop("vector_score", "hits").join(rows.select("node_id", hit.alias("hits")), "node_id")
+    # at most max(4 top_k, 20) rows
+    found = found.join(F.broadcast(nearest(nodes, search, query_vector)), "node_id", "left").withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
+    rows = _with_row(found, statistics(found, search)).withColumn("bm25", bm25(search))
+    rows = rows.where((F.col("hits") > 0) | (F.col("bm25") > 0) | (F.col("vector_score") != 0) | F.col("exact_match"))
+    rows = rows.withColumn("keyword_score", F.when(F.col("bm25") > 0, F.col("bm25")).otherwise(F.col("hits") / F.lit(max(len(parts), 1))))
+    score = scoring.hybrid(F.col("keyword_score"), F.col("vector_score"), F.col("exact_match"), F.col("is_public"), F.col("kind"))
+    return best(rows.withColumn("score", score), search.top_k)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int, block: int = 256) -> DataFrame:
+    """The ``k`` vectors nearest to every query vector by dot product: ``<id>, neighbour, similarity, rank``.
+
+    Queries come in blocks of ``block`` vectors, so that each row of ``vectors`` meets a block in one expression;
+    what a task finds is cut to its first ``k`` per query before the shuffle. Null vectors take no part; ties go
+    by id.
+    """
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("q"), F.col(vector_col).alias("v"))
+    n_blocks = max(1, -(-asked.count() // block))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+    # each block meets the rows in as many parts as keep all cores busy
+    parts = max(1, -(-4 * parallelism(vectors.sparkSession) // n_blocks))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    blocks = blocks.withColumn("part", F.explode(count(parts)))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("w"))
+    rows = rows.withColumns({"b": F.explode(count(n_blocks)), "part": F.pmod(F.xxhash64("neighbour"), F.lit(parts))})
+    met = rows.join(blocks, ["b", "part"]).select("neighbour", "w", F.explode("asked").alias("a")).select(F.col("a.q").alias("q"), "neighbour", vector.similarity(F.col("a.v"), F.col("w")).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "neighbour"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(id_col), "neighbour", "similarity", "rank")
 
 
 # ---------------------------------------------------------------- many queries, derived tables
@@ -156,6 +235,23 @@ def scope_stats(nodes: DataFrame) -> DataFrame:
     return in_scope(nodes).groupBy("graph_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size(text.words(text.haystack()))).alias("total_len"))
 
 
+def write_index(nodes: DataFrame, path: str) -> None:
+    """Store postings and statistics of current node rows below ``path``, for any number of searches.
+
+    Postings lie sorted by term in ranges of it, so that a query's terms read the row groups that have them.
+    """
+    post = postings(nodes).repartitionByRange("term", "graph_id").sortWithinPartitions("term", "graph_id", "kind")
+    post.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = nodes.sparkSession.read.parquet(f"{path}/postings")
+    term_stats(stored).repartitionByRange("term").sortWithinPartitions("term", "graph_id").write.mode("overwrite").parquet(f"{path}/terms")
+    scope_stats(nodes).write.mode("overwrite").parquet(f"{path}/scopes")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored postings, term and scope statistics, as ``bm25_indexed`` takes them."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "scopes"))
+
+
 def bm25_indexed(post: DataFrame, terms: DataFrame, scopes: DataFrame, search: Search) -> DataFrame:
     """The same scores as ``bm25_scores`` from the derived tables; only the postings of the query's terms are read.
 
@@ -163,7 +259,7 @@ def bm25_indexed(post: DataFrame, terms: DataFrame, scopes: DataFrame, search: S
     """
 
     def scoped(df: DataFrame) -> DataFrame:
-        df = df.where(F.col("graph_id").isin(*search.graph_ids)) if search.graph_ids else df
+        df = df.where(F.col("graph_id").isin(*search.scope)) if search.scope else df
         return df.where(F.col("kind").isin(*search.kinds)) if search.kinds else df
 
     wanted = list(search.distinct_terms)
@@ -177,13 +273,19 @@ def batch_bm25(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best nodes by BM25 of every query: ``query_id, node_id, bm25, rank``.
 
     ``queries`` has ``query_id, query``. Terms meet postings in one equi-join, so any number of queries share one
-    pass over the texts; scores add up per (query, node) before ranking. Scope is all nodes but libraries.
+    pass over the texts; scores add up per (query, node) before ranking, and each task ranks its own first. A term
+    that very many nodes have meets its queries in as many parts as that takes. Scope is all nodes but libraries.
     """
     asked = queries.where("query_id is not null and query is not null").select("query_id", F.explode(text.words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    post = postings(nodes)
+    post = written(postings(nodes).select("term", "node_id", "tf", "doc_len"))
     stats = post.groupBy("term").agg(F.count("*").alias("df"))
+    parts = F.ceil(F.col("df") / PER_PART).cast("int")
+    # of terms with more than PER_PART postings there are few
+    post = post.join(F.broadcast(stats.where(F.col("df") > PER_PART).select("term", parts.alias("parts"))), "term", "left")
+    post = post.select("term", "node_id", "tf", "doc_len", F.pmod(F.xxhash64("node_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    stats = stats.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     total = scope_stats(nodes).agg(F.sum("n").alias("n"), (F.sum("total_len") / F.sum("n")).alias("average"))
-    met = _with_row(asked.join(stats, "term").join(post, "term"), total)
+    met = _with_row(asked.join(stats, "term").join(post, ["term", "part"]), total)
     d = F.col("df") * F.col("times")
     idf = F.log(F.lit(1.0) + (F.col("n") - d + 0.5) / (d + 0.5))
     part = F.col("times") * idf * (F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + scoring.K1 * (1 - scoring.B + scoring.B * (F.greatest("doc_len", F.lit(1)) / F.col("average")))))

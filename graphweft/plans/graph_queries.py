@@ -11,7 +11,7 @@ from graphweft.functions import text, vector
 from graphweft.operators import catalog, details, search
 from graphweft.operators.merge import current_rows
 from graphweft.params import Details, Search
-from graphweft.session import shared_folder, table
+from graphweft.session import own_folder, table
 from graphweft.sources import embedding, python_api, store
 from graphweft.streaming import ingest
 
@@ -80,7 +80,7 @@ def embedding_texts(spark, d):
 
 
 def term_freq(spark, d):
-    return search.postings(_current(spark, d)).where(F.col("term").isin(*PLAIN.distinct_terms)).select("node_id", "term", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
+    return search.postings(_current(spark, d)).select("node_id", "term", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
 
 
 def doc_freq(spark, d):
@@ -92,34 +92,44 @@ def corpus_stats(spark, d):
 
 
 def bm25_basic(spark, d):
-    return search.bm25_scores(search.in_scope(_current(spark, d)), PLAIN)
+    return search.bm25_scores(search.current_features(table(spark, d, "nodes"), PLAIN), PLAIN)
 
 
 def bm25_repeated_terms(spark, d):
-    return search.bm25_scores(search.in_scope(_current(spark, d)), REPEATED)
+    return search.bm25_scores(search.current_features(table(spark, d, "nodes"), REPEATED), REPEATED)
 
 
 def bm25_scoped(spark, d):
-    return search.bm25_scores(search.in_scope(_current(spark, d), SCOPED.graph_ids, SCOPED.kinds), SCOPED)
+    return search.bm25_scores(search.current_features(table(spark, d, "nodes"), SCOPED), SCOPED)
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of a directory's nodes, stored with its first use in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = f"{own_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(_current(spark, d), path)
+        _INDEXES[key] = path
+    return search.read_index(spark, _INDEXES[key])
 
 
 def bm25_indexed(spark, d):
-    nodes = _current(spark, d)
-    post = search.postings(nodes)
-    return search.bm25_indexed(post, search.term_stats(post), search.scope_stats(nodes), SCOPED)
+    return search.bm25_indexed(*_index(spark, d), SCOPED)
 
 
 def keyword_hits(spark, d):
-    rows = search.in_scope(_current(spark, d)).withColumn("haystack", text.haystack())
-    return rows.select("node_id", search.hits(REPEATED).cast("long").alias("hits")).where("hits > 0")
+    return search.current_features(table(spark, d, "nodes"), REPEATED).select("node_id", F.col("hits").cast("long").alias("hits")).where("hits > 0")
 
 
 def exact_match(spark, d):
-    return search.in_scope(_current(spark, d)).where(search.exact(Search("Session"))).select("node_id", "kind")
+    return search.current_features(table(spark, d, "nodes"), Search("Session")).where("exact_match").select("node_id", "kind")
 
 
 def hybrid_score(spark, d):
-    rows = search.scored(search.in_scope(_current(spark, d, True)), HYBRID, embedding.hash_vector(F.lit(HYBRID.query)))
+    rows = search.scored(search.current_features(table(spark, d, "nodes"), HYBRID, embedding.hash_vector(F.lit(HYBRID.query))), HYBRID)
     return rows.select("node_id", F.round("keyword_score", 6).alias("keyword_score"), "vector_score", "exact_match", "score")
 
 
@@ -128,27 +138,39 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 
 def search_candidates_keyword(spark, d):
-    return _shown(search.search_candidates(_current(spark, d), PLAIN))
+    return _shown(search.search_candidates(table(spark, d, "nodes"), PLAIN))
 
 
 def search_candidates_hybrid(spark, d):
-    return _shown(search.search_candidates(_current(spark, d, True), HYBRID, embedding.hash_vector(F.lit(HYBRID.query))))
+    return _shown(search.search_candidates(table(spark, d, "nodes"), HYBRID, embedding.hash_vector(F.lit(HYBRID.query))))
 
 
 def search_candidates_scoped(spark, d):
-    return _shown(search.search_candidates(_current(spark, d), SCOPED))
+    return _shown(search.search_candidates(table(spark, d, "nodes"), SCOPED))
 
 
 def vector_overfetch_then_filter(spark, d):
-    return search.index_profile_scores(_current(spark, d, True), Search("public cache", kinds=("Function",)), embedding.hash_vector(F.lit("public cache")))
+    return search.nearest(_current(spark, d, True), Search("public cache", kinds=("Function",)), embedding.hash_vector(F.lit("public cache")))
 
 
 def route_graphs(spark, d):
-    return search.route_graphs(search.search_candidates(_current(spark, d), Search(PLAIN.query, top_k=50)))
+    return search.route_graphs(search.search_candidates(table(spark, d, "nodes"), Search(PLAIN.query, top_k=50)))
+
+
+def search_by_index(spark, d):
+    rows = search.search_by_index(_current(spark, d, True), HYBRID, embedding.hash_vector(F.lit(HYBRID.query)))
+    return rows.select("node_id", F.round("keyword_score", 6).alias("keyword_score"), "vector_score", "score")
+
+
+def candidates_answer(spark, d):
+    asked = Search(PLAIN.query, top_k=50)
+    got = search.answer(search.search_candidates(table(spark, d, "nodes"), asked), asked, with_vectors=False)
+    names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), " ")
+    return got.select("query", "candidate_count", names("routed_graphs", "graph_id").alias("routed"), names("top_matches", "node_id").alias("matches"), "context_preview", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 def preview_compress(spark, d):
-    return search.preview(search.search_candidates(_current(spark, d), PLAIN))
+    return search.preview(search.search_candidates(table(spark, d, "nodes"), PLAIN))
 
 
 def batch_search(spark, d):
@@ -175,10 +197,9 @@ def l2_norm(spark, d):
 
 
 def cosine_topk(spark, d):
+    """The 20 nearest of every vector whose id is divisible by 50, itself included."""
     vecs = table(spark, d, "embeddings")
-    q = vecs.where("vec_id = 7").select(F.col("embedding").alias("q"))  # vec_id is unique: one row
-    near = vecs.withColumn("q", q.scalar()).select("vec_id", "label", vector.similarity(F.col("q"), F.col("embedding")).alias("similarity"))
-    return near.orderBy(F.desc("similarity"), "vec_id").limit(20)
+    return search.nearest_of_each(vecs, vecs.where("pmod(vec_id, 50) = 0"), id_col="vec_id", vector_col="embedding", k=20)
 
 
 def cosine_dim_guard(spark, d):
@@ -197,9 +218,10 @@ def _request(spark, d) -> DataFrame:
 
 
 def nodes_by_ids(spark, d):
-    ids = tuple(f"lumen-core:4.2.0:{k}" for k in ("Library:lumen-core:4.2.0", "Module:lumen_core.border_a", "Function:lumen_core.border_a.collect_mapping", "Class:none"))
-    rows = store.merged_nodes(table(spark, d, "nodes").select("node_id", "graph_id", "kind", "name", "qualified_name", "signature", "docstring", "logic_skeleton", "source_excerpt", "updated_at").where(F.col("node_id").isin(*ids)))
-    return details.nodes_by_ids(rows, Details(ids))
+    """A lookup of all ends of the inheritance links."""
+    columns = ("graph_id", "kind", "name", "qualified_name", "signature", "docstring", "logic_skeleton", "source_excerpt")
+    rows = table(spark, d, "nodes").join(_request(spark, d), "node_id", "left_semi")
+    return details.shown(current_rows(rows, "node_id", "updated_at", {c: c for c in columns}), Details(("all",)))
 
 
 def induced_edges(spark, d):
@@ -213,7 +235,7 @@ def missing_ids(spark, d):
 
 def details_context(spark, d):
     rows = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {c: c for c in ("graph_id", "kind", "qualified_name", "docstring", "logic_skeleton", "signature")})
-    return details.context(details.in_requests(rows.where("kind = 'Class'"))).select("graph_id", "request", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+    return details.context(details.in_requests(rows)).select("graph_id", "request", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
 
 
 def details_metadata(spark, d):
@@ -317,7 +339,7 @@ def parse_warnings(spark, d):
 
 def stream_link_counts(spark, d):
     """All links as a stream of files, counted per day of their load and type."""
-    path = f"{shared_folder(spark)}/graphweft/counts-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/counts-{uuid.uuid4().hex}"
     links = table(spark, d, "edges")
     one_file = links.inputFiles()[0].endswith("/edges.parquet")
     inbox, names = (d, "edges.parquet") if one_file else (f"{d}/edges.parquet", "*")
@@ -336,12 +358,12 @@ def library_identity(spark, d):
 
 def candidate_cards_json(spark, d):
     card = F.struct("node_id", "kind", "qualified_name", "summary")
-    return search.search_candidates(_current(spark, d), PLAIN).select("node_id", F.to_json(card).alias("card"))
+    return search.search_candidates(table(spark, d, "nodes"), PLAIN).select("node_id", F.to_json(card).alias("card"))
 
 
 def replace_graph(spark, d):
     """All links into a store, then one graph replaced by its ownership links alone; what the store holds then."""
-    path = f"{shared_folder(spark)}/graphweft/store-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/store-{uuid.uuid4().hex}"
     rows = table(spark, d, "edges").select("graph_id", "source_node_id", "target_node_id", F.upper(F.trim("type")).alias("type")).distinct()
     store.replace_graphs(rows.where("graph_id <> ''"), path)
     one = rows.where("graph_id = 'lumen-core:4.2.0' and type in ('CONTAINS', 'DECLARES')")
@@ -352,7 +374,7 @@ def replace_graph(spark, d):
 OWN = (
     scan_scope_filter, exclude_library, haystack_projection, tokenize_words, tokenize_ws, tokenize_hash, slug_graph_id, node_identity, summary_first_line, embedding_texts,
     term_freq, doc_freq, corpus_stats, bm25_basic, bm25_repeated_terms, bm25_scoped, bm25_indexed, keyword_hits, exact_match, hybrid_score,
-    search_candidates_keyword, search_candidates_hybrid, search_candidates_scoped, vector_overfetch_then_filter, route_graphs, preview_compress, batch_search,
+    search_candidates_keyword, search_candidates_hybrid, search_candidates_scoped, vector_overfetch_then_filter, search_by_index, route_graphs, candidates_answer, preview_compress, batch_search,
     hash_embedding_cells, hash_embedding, l2_norm, cosine_topk, cosine_dim_guard, nodes_by_ids, induced_edges, missing_ids, details_context, details_metadata,
     counts_by_kind7, counts_by_kind4, list_graphs, catalog_prefix_status, embedding_status, embedding_dimensions, rebuild_counts, candidate_name_filter, health,
     node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph, stream_link_counts, library_identity, candidate_cards_json,
@@ -448,7 +470,7 @@ def oracle_sql() -> dict[str, str]:
         "node_identity": "SELECT DISTINCT node_id, concat_ws(':', graph_id, kind, qualified_name) AS built, regexp_extract(qualified_name, '[^.]*$') AS last FROM nodes",
         "summary_first_line": f"SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')[1], '(none)') AS summary FROM documents",
         "embedding_texts": with_cur + f"SELECT node_id, {_STRIP.format(f"array_to_string(list_filter({_PARTS}, lambda x: x <> ''), ' | ')")} AS plain, regexp_replace(array_to_string({_PARTS}, ' | '), '^[ |]+|[ |]+$', '', 'g') AS keeping_empty FROM cur WHERE kind IN {_EMBED}",
-        "term_freq": with_tok + f", {_POST} SELECT node_id, term, tf, doc_len FROM tf WHERE term IN {_in(PLAIN.distinct_terms)}",
+        "term_freq": with_tok + f", {_POST} SELECT node_id, term, tf, doc_len FROM tf",
         "doc_freq": with_tok + f", {_POST} SELECT term, count(*) AS df FROM tf GROUP BY term",
         "corpus_stats": with_tok + " SELECT graph_id, kind, count(*) AS n, CAST(sum(len(tokens)) AS BIGINT) AS total_len FROM tok GROUP BY ALL",
         "bm25_basic": _scored(PLAIN) + " SELECT node_id, bm25 FROM bm WHERE bm25 > 0",
@@ -462,7 +484,15 @@ def oracle_sql() -> dict[str, str]:
         "search_candidates_hybrid": _top(HYBRID, True) + _SHOWN,
         "search_candidates_scoped": _top(SCOPED) + _SHOWN,
         "vector_overfetch_then_filter": f"WITH {_CUR}, {_vec('public cache')} SELECT node_id, vector_score FROM (SELECT *, {_SIM} AS vector_score FROM cur, qv WHERE embedding IS NOT NULL ORDER BY vector_score DESC, node_id DESC LIMIT 32) WHERE kind = 'Function'",
-        "route_graphs": _top(plain50) + " SELECT graph_id, greatest(0.0, max(score)) AS score FROM top GROUP BY graph_id",
+        "route_graphs": _top(plain50) + " SELECT graph_id, greatest(0.0, max(score)) AS score, CAST(row_number() OVER (ORDER BY greatest(0.0, max(score)) DESC, graph_id) AS INTEGER) AS rank FROM top GROUP BY graph_id",
+        "candidates_answer": _top(plain50) + f""", routed AS (SELECT graph_id, max(score) AS score FROM top GROUP BY graph_id), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, keyword_score DESC, vector_score DESC, qualified_name DESC, node_id DESC) AS rn FROM top)
+            SELECT '{plain50.query}' AS query, (SELECT count(*) FROM top) AS candidate_count, (SELECT string_agg(graph_id, ' ' ORDER BY score DESC, graph_id) FROM routed) AS routed, (SELECT string_agg(node_id, ' ' ORDER BY rn) FROM o) AS matches,
+                (SELECT string_agg(concat(kind, ' ', qualified_name, ': ', coalesce(summary, '')), ' | ' ORDER BY rn) FROM o WHERE rn <= 3) AS context_preview, CAST(1 AS BIGINT) AS n_warnings""",
+        "search_by_index": f"""{_scored(HYBRID)}, near AS (SELECT node_id, vs FROM (SELECT node_id, kind, {_SIM} AS vs FROM cur, qv WHERE embedding IS NOT NULL ORDER BY vs DESC, node_id DESC LIMIT {max(4 * HYBRID.top_k, 20)}) WHERE kind <> 'Library'),
+            prof AS (SELECT b.*, coalesce(vs, 0.0) AS near_score, {" + ".join(f"CASE WHEN contains(hay, '{t}') THEN 1 ELSE 0 END" for t in HYBRID.query.lower().split())} AS parts FROM bm b LEFT JOIN near USING (node_id)),
+            pk AS (SELECT *, CASE WHEN bm25 > 0 THEN bm25 ELSE parts / {len(HYBRID.query.split())} END AS ks FROM prof WHERE parts > 0 OR bm25 > 0 OR near_score <> 0 OR exact_match),
+            ps AS (SELECT *, floor((ks * 0.65 + near_score * 0.35 + CASE WHEN exact_match THEN 0.2 ELSE 0.0 END + CASE WHEN coalesce(is_public, true) THEN 0.05 ELSE 0.0 END + CASE WHEN kind IN ('Function', 'Class') THEN 0.03 ELSE 0.0 END) * 1e6 + 0.5) / 1e6 AS total FROM pk)
+            SELECT node_id, round(ks, 6) AS keyword_score, CAST(near_score AS DOUBLE) AS vector_score, total AS score FROM ps ORDER BY total DESC, ks DESC, near_score DESC, qualified_name DESC, node_id DESC LIMIT {HYBRID.top_k}""",
         "preview_compress": _top(PLAIN) + " SELECT array_to_string(list_slice(list(concat(kind, ' ', qualified_name, ': ', coalesce(summary, '')) ORDER BY score DESC, keyword_score DESC, vector_score DESC, qualified_name DESC, node_id DESC), 1, 3), ' | ') AS context_preview FROM top",
         "batch_search": with_tok + f""", {_POST}, asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(title), '[a-zA-Z0-9_]+')) AS term FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL),
             dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, sum(len(tokens)) / count(*) AS average FROM tok),
@@ -475,14 +505,15 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT node_id, c, sqrt(list_sum(list_transform(c, lambda y: y * y))) AS norm FROM c)
             SELECT node_id, CAST(unnest(range(32)) AS INTEGER) AS i, unnest(list_transform(c, lambda x: CASE WHEN norm > 0 THEN round(x / norm, 6) ELSE 0.0 END)) AS x FROM e""",
         "l2_norm": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings",
-        "cosine_topk": "SELECT vec_id, label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS similarity FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) ORDER BY similarity DESC, vec_id LIMIT 20",
+        "cosine_topk": """WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
+            SELECT vec_id, neighbour, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM s) WHERE rank <= 20""",
         "cosine_dim_guard": f"WITH {_CUR}, qv AS (SELECT list_transform(range(32), lambda i: CAST(0.1 AS DOUBLE)) AS q) SELECT node_id, CAST({_SIM} AS DOUBLE) AS similarity FROM cur, qv WHERE kind <> 'Library'",
-        "nodes_by_ids": with_cur + "SELECT node_id, graph_id, kind, name, qualified_name, signature, docstring, logic_skeleton, CAST(NULL AS VARCHAR) AS source_excerpt FROM cur WHERE node_id IN ('lumen-core:4.2.0:Library:lumen-core:4.2.0', 'lumen-core:4.2.0:Module:lumen_core.border_a', 'lumen-core:4.2.0:Function:lumen_core.border_a.collect_mapping', 'lumen-core:4.2.0:Class:none')",
+        "nodes_by_ids": f"WITH {_CUR}, {_REQ} SELECT node_id, graph_id, kind, name, qualified_name, signature, docstring, logic_skeleton, CAST(NULL AS VARCHAR) AS source_excerpt FROM cur WHERE node_id IN (SELECT node_id FROM req)",
         "induced_edges": f"WITH {_REQ} SELECT DISTINCT source_node_id, target_node_id, type FROM edges WHERE source_node_id IN (SELECT node_id FROM req) AND target_node_id IN (SELECT node_id FROM req)",
         "missing_ids": "SELECT edge_id AS pos, target_node_id AS node_id FROM edges WHERE target_node_id <> '' AND target_node_id NOT IN (SELECT node_id FROM nodes)",
-        "details_context": with_cur + """, n AS (SELECT graph_id, CAST(ceil(count(*) / 50) AS BIGINT) AS requests FROM cur WHERE kind = 'Class' GROUP BY graph_id),
+        "details_context": with_cur + """, n AS (SELECT graph_id, CAST(ceil(count(*) / 50) AS BIGINT) AS requests FROM cur GROUP BY graph_id),
             said AS (SELECT graph_id, ('0x' || substr(md5(node_id), 1, 8))::BIGINT % requests AS request, node_id, concat(kind, ' ', qualified_name, ': ', coalesce(nullif(docstring, ''), nullif(logic_skeleton, ''), nullif(signature, ''), '')) AS item
-                FROM cur JOIN n USING (graph_id) WHERE kind = 'Class'),
+                FROM cur JOIN n USING (graph_id)),
             j AS (SELECT graph_id, request, array_to_string(list_filter(list_transform(list(item ORDER BY node_id), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' | ') AS context FROM said GROUP BY graph_id, request)
             SELECT graph_id, request, md5(context) AS digest, length(context) AS n_chars FROM j""",
         "details_metadata": """SELECT node_id, unnest(r) FROM (SELECT node_id, arg_max({'source_path': source_path, 'line_start': line_start, 'line_end': line_end, 'is_async': metadata.is_async, 'is_method': metadata.is_method,

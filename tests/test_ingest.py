@@ -90,6 +90,13 @@ def test_details(spark):
     assert details.context(details.in_requests(nodes)).first().context == "Class m.A: doc | Class m.B: x -> y"
     asked = spark.createDataFrame([(0, "zz"), (1, "a"), (2, "zz")], "pos int, node_id string")
     assert sorted(tuple(r) for r in details.missing_ids(asked, nodes).collect()) == [(0, "zz"), (2, "zz")]
+    links = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("a", "zz", "X"), ("a", "", "X")], "source_node_id string, target_node_id string, type string")
+    lookups = spark.createDataFrame([(1, 0, "b"), (1, 1, "zz"), (1, 2, "a"), (1, 3, "b"), (2, 0, "b"), (2, 1, None)], "request int, pos int, node_id string")
+    one, two = details.answers(nodes, links, lookups, Details(("x",), excerpt=True)).orderBy("request").collect()
+    assert [n.node_id for n in one.nodes] == ["b", "a"] and one.missing_node_ids == ["zz"] and [tuple(e) for e in one.edges] == [("a", "b", "X")]
+    assert one.expanded_context == "Class m.B: x -> y | Class m.A: doc" and one.nodes[1].source_excerpt == "src"
+    assert [n.node_id for n in two.nodes] == ["b"] and two.edges == [] and two.missing_node_ids == []
+    assert details.answers(nodes, links, lookups, Details(("x",), relationships=False)).orderBy("request").first().edges == []
     edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("b", "c", "X"), ("c", "d", "X"), ("a", None, "X")], "source_node_id string, target_node_id string, type string")
     assert [tuple(r) for r in details.induced_edges(edges, nodes).collect()] == [("a", "b", "X")]
     assert sorted(tuple(r) for r in details.expand(edges, asked.where("pos = 1").select("node_id"), 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]

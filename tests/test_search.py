@@ -55,7 +55,7 @@ def made(seed, n=60):
 @pytest.mark.parametrize(("seed", "query"), [(1, "the cache"), (2, "the cache of the cache the"), (3, "Flag"), (4, "nothing here"), (5, "!?")])
 def test_scores_equal_the_plain_scorer(spark, seed, query):
     nodes = made(seed)
-    got = {r.node_id: r for r in search.scored(search.in_scope(frame(spark, nodes)), Search(query)).collect()}
+    got = {r.node_id: r for r in search.scored(search.features(search.in_scope(frame(spark, nodes)), Search(query)), Search(query)).collect()}
     want = scores(nodes, query)
     assert set(got) == set(want)
     for k, (kw, total) in want.items():
@@ -66,26 +66,62 @@ def test_scope_order_and_derived_tables(spark):
     nodes = made(7, 90)
     df = frame(spark, nodes)
     s = Search("the cache", graph_ids=("g1",), kinds=("Function", "Class"), top_k=5)
-    top = search.search_candidates(df, s).collect()
+    states = df.withColumns({"metadata": F.struct("embedding_text", F.lit(None).cast("array<double>").alias("embedding")), "updated_at": F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))}).drop("embedding_text")
+    older = states.withColumns({"updated_at": F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")), "summary": F.lit("the cache the cache")})
+    states = states.union(older)
+    top = search.search_candidates(states, s).collect()
     want = scores([n for n in nodes if n["graph_id"] == "g1" and n["kind"] in s.kinds], s.query)
     order = sorted(want, key=lambda k: (round(want[k][1], 5), round(want[k][0], 5)), reverse=True)[:5]
     assert {r.node_id for r in top} == set(order) and [r.score for r in top] == sorted((r.score for r in top), reverse=True)
     post = search.postings(df)
     a = {tuple(r) for r in search.bm25_indexed(post, search.term_stats(post), search.scope_stats(df), s).collect()}
-    assert a == {tuple(r) for r in search.bm25_scores(search.in_scope(df, s.graph_ids, s.kinds), s).collect()}
-    routes = {r.graph_id: r.score for r in search.route_graphs(search.search_candidates(df, s)).collect()}
-    assert routes == {"g1": top[0].score}
+    assert a == {tuple(r) for r in search.bm25_scores(search.current_features(states, s), s).collect()}
+    assert a == {tuple(r) for r in search.bm25_indexed(post, search.term_stats(post), search.scope_stats(df), Search(s.query, graph_id="g1", kinds=s.kinds)).collect()}
+    routes = [tuple(r) for r in search.route_graphs(search.search_candidates(states, s)).collect()]
+    assert routes == [("g1", top[0].score, 1)]
+    got = search.answer(search.search_candidates(states, s), s, with_vectors=False).first()
+    assert got.candidate_count == 5 and [m.node_id for m in got.top_matches] == [r.node_id for r in top] and got.resolved_graph_ids == ["g1"] and len(got.warnings) == 1
+    assert got.context_preview.count(" | ") == 2 and [r.graph_id for r in got.routed_graphs] == ["g1"]
+    plan = search.current_features(states, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") > plan.index("Aggregate")  # the scope lies below the merge
+
+
+def test_index_is_stored_by_term(spark, tmp_path):
+    df = frame(spark, made(7, 90))
+    search.write_index(df, str(tmp_path / "i"))
+    s = Search("the cache")
+    stored = search.bm25_indexed(*search.read_index(spark, str(tmp_path / "i")), s)
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in search.bm25_scores(search.features(search.in_scope(df), s), s).collect()}
+
+
+def test_batch_search_splits_hot_terms(spark, monkeypatch):
+    df = frame(spark, made(3, 90))
+    asked = spark.createDataFrame([(1, "the cache"), (2, "Flag"), (3, None), (None, "the"), (4, "")], "query_id long, query string")
+    whole = {tuple(r) for r in search.batch_bm25(df, asked, 4).collect()}
+    monkeypatch.setattr(search, "PER_PART", 7)
+    assert whole == {tuple(r) for r in search.batch_bm25(df, asked, 4).collect()} and {r[0] for r in whole} == {1, 2}
+
+
+def test_nearest_of_each(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in search.nearest_of_each(df, df.where("id % 10 = 0 or id = 99"), id_col="id", vector_col="v", k=4, block=2).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)), 6)
+    assert got == {i: [j for _, j in sorted((-dot(v, w), j) for j, w in rows if w)[:4]] for i, v in rows if v and i % 10 == 0}
 
 
 def test_empty_scope_and_plan(spark):
     df = frame(spark, made(1))
-    assert search.search_candidates(df, Search("cache", graph_ids=("none",))).collect() == []
-    plan = search.search_candidates(df, Search("cache"))._jdf.queryExecution().executedPlan().toString()
+    found = lambda s: search.best(search.scored(search.features(search.in_scope(df, s.scope), s), s), 8)
+    assert found(Search("cache", graph_ids=("none",))).collect() == []
+    plan = found(Search("cache"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_parameters():
-    for bad in (lambda: Search(" "), lambda: Search("x", top_k=0), lambda: Search("x", top_k=51), lambda: Details(()), lambda: Details(("a",) * 101)):
+    for bad in (lambda: Search(" "), lambda: Search("x", top_k=0), lambda: Search("x", top_k=51), lambda: Search("x", graph_id="a", graph_ids=("b",)), lambda: Details(()), lambda: Details(("a",) * 101)):
         with pytest.raises(InvalidInput):
             bad()
 
