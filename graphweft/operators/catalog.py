@@ -46,6 +46,18 @@ def list_graphs(nodes: DataFrame, name_prefix: str | None = None, status: str |
     return top.join(counts, "graph_id", "left").select("graph_id", "name", "version", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in FOUR])
 
 
+def catalog(nodes: DataFrame, name_prefix: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
+    """The whole catalog, newest first: ``list_graphs`` with the embedding status and the last change of each graph.
+
+    ``nodes`` are current rows with the columns of both (``embedding`` and those that name its provider).
+    """
+    top = list_graphs(nodes, name_prefix, status, limit)
+    few = F.broadcast(top.select("graph_id"))  # at most `limit` rows
+    ready = embedding_status(nodes.join(few, "graph_id", "left_semi"))
+    changed = nodes.where("kind = 'Library'").join(few, "graph_id", "left_semi").groupBy("graph_id").agg(F.max("updated_at").alias("updated_at"))
+    return top.join(ready, "graph_id").join(changed, "graph_id")
+
+
 def rebuild_counts(nodes: DataFrame) -> DataFrame:
     """Per graph: nodes that a rebuild embeds, and those skipped (embedded before, no longer eligible)."""
     eligible = F.col("kind").isin(*text.EMBEDDABLE)

@@ -30,7 +30,7 @@ def answers(nodes: DataFrame, edges: DataFrame, requests: DataFrame, flags: Deta
     ``requests`` has ``request, pos, node_id``, some hundred ids a lookup at most; ``nodes`` are current rows, whose
     place columns and ``metadata`` (if they are there) come along. ``flags`` says what is included; without its
     ``relationships`` there are no edges. Nodes and missing ids keep the order of the request, repeated ids count
-    once as nodes; edges are the distinct links between nodes of the lookup.
+    once as nodes; edges are the distinct links between ids of the lookup.
     """
     asked = requests.where("node_id is not null").groupBy("request", "node_id").agg(F.min("pos").alias("pos"))
     held = [c for c in (*PLACE, "metadata") if c in nodes.columns]
@@ -108,8 +108,13 @@ def expand(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 def inherits(nodes: DataFrame) -> DataFrame:
-    """Links from the classes to their bases, where a class of that name exists in the same graph."""
+    """``source_node_id, target_node_id, n_candidates``: links from the classes to their bases in the same graph.
+
+    A base is told by its last name; ``n_candidates`` says how many classes of the graph have it, so that ambiguous
+    links can be told from sure ones.
+    """
     classes = nodes.where("kind = 'Class'")
     bases = classes.select("graph_id", F.col("node_id").alias("source_node_id"), F.explode("bases").alias("base")).withColumn("name", text.last_part(F.col("base")))
     named = classes.select("graph_id", "name", F.col("node_id").alias("target_node_id"))
-    return bases.join(named, ["graph_id", "name"]).where("source_node_id <> target_node_id").select("source_node_id", "target_node_id").distinct()
+    named = named.join(named.groupBy("graph_id", "name").agg(F.count("*").alias("n_candidates")), ["graph_id", "name"])
+    return bases.join(named, ["graph_id", "name"]).where("source_node_id <> target_node_id").select("source_node_id", "target_node_id", "n_candidates").distinct()

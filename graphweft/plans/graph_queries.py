@@ -13,6 +13,7 @@ from graphweft.operators.merge import current_rows
 from graphweft.params import Details, Search
 from graphweft.session import own_folder, table
 from graphweft.sources import embedding, python_api, store
+from graphweft.sources import ingest as library_ingest
 from graphweft.streaming import ingest
 
 PLAIN = Search("cached engine")
@@ -265,6 +266,19 @@ def catalog_prefix_status(spark, d):
     return catalog.list_graphs(_libraries(spark, d), name_prefix="L", status="building", limit=20)
 
 
+def catalog_with_status(spark, d):
+    fields = {c: c for c in ("graph_id", "kind", "name", "updated_at")} | {c: f"metadata.{c}" for c in ("version", "status", "embedding", "embedding_provider", "embedding_model", "embedding_schema_version")}
+    return catalog.catalog(current_rows(table(spark, d, "nodes"), "node_id", "updated_at", fields)).drop("updated_at")
+
+
+def details_answers(spark, d):
+    """Lookups of the ends of all inheritance links, about 50 ids each: what they answer."""
+    nodes = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", {c: c for c in ("graph_id", "kind", "name", "qualified_name", "signature", "docstring", "logic_skeleton", "source_excerpt")})
+    asked = details.in_requests(_request(spark, d).withColumn("graph_id", F.lit("all"))).select("request", F.col("node_id").alias("pos"), "node_id")
+    got = details.answers(nodes, table(spark, d, "edges"), asked, Details(("all",)))
+    return got.select("request", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.md5("expanded_context").alias("digest"), F.array_join("missing_node_ids", " ").alias("missing"))
+
+
 def embedding_status(spark, d):
     fields = {"graph_id": "graph_id", **{c: f"metadata.{c}" for c in ("embedding", "embedding_provider", "embedding_model", "embedding_schema_version")}}
     return catalog.embedding_status(current_rows(table(spark, d, "nodes"), "node_id", "updated_at", fields))
@@ -324,6 +338,28 @@ def _sources(spark, d) -> DataFrame:
     return rows.select("graph_id", "path", "f.module", "f.source")
 
 
+def ingest_counts(spark, d):
+    """All Python sources ingested end to end: parsed, embedded, stored, registered; the counts of each graph."""
+    files = table(spark, d, "source_files").select("graph_id", F.col("library_name").alias("library")).where("graph_id is not null").groupBy("graph_id").agg(F.max("library").alias("library"))
+    path = f"{own_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    return library_ingest.ingest(_sources(spark, d).join(files, "graph_id"), path, library_ingest.Ingest()).drop("warnings")
+
+
+def rebuild_embeddings(spark, d):
+    """Current nodes into a store, their embeddings built anew there: what was embedded and skipped of each graph."""
+    path = f"{own_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    columns = {c: c for c in ("graph_id", "kind", "qualified_name", "summary", "signature", "docstring")}
+    nodes = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", columns | {"embedding": "metadata.embedding"})
+    store.replace_graphs(nodes, f"{path}/nodes")
+    return library_ingest.rebuild_embeddings(spark, path, library_ingest.Ingest())
+
+
+def declared_identity(spark, d):
+    """Name and version that project files, packaging metadata or a package's version declare."""
+    files = table(spark, d, "source_files").select("graph_id", F.col("source_path").alias("path"), F.col("source_text").alias("source"))
+    return library_ingest.library_identity(files)
+
+
 def parse_nodes(spark, d):
     files = _sources(spark, d)
     return python_api.api_nodes(python_api.api_facts(files), files).select("node_id", "graph_id", "kind", "name", "qualified_name", "source_path", "line_start", "line_end", "summary", "docstring", "signature", "logic_skeleton", "source_excerpt")
@@ -344,7 +380,7 @@ def stream_link_counts(spark, d):
     one_file = links.inputFiles()[0].endswith("/edges.parquet")
     inbox, names = (d, "edges.parquet") if one_file else (f"{d}/edges.parquet", "*")
     ingest.count_arrivals(spark, inbox, links.schema, f"{path}/table", f"{path}/checkpoint", "1 day", names).awaitTermination()
-    return spark.read.parquet(f"{path}/table").select(F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "type", "n")
+    return ingest.arrival_counts(spark, f"{path}/table").select(F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "type", "n")
 
 
 def library_identity(spark, d):
@@ -377,7 +413,7 @@ OWN = (
     search_candidates_keyword, search_candidates_hybrid, search_candidates_scoped, vector_overfetch_then_filter, search_by_index, route_graphs, candidates_answer, preview_compress, batch_search,
     hash_embedding_cells, hash_embedding, l2_norm, cosine_topk, cosine_dim_guard, nodes_by_ids, induced_edges, missing_ids, details_context, details_metadata,
     counts_by_kind7, counts_by_kind4, list_graphs, catalog_prefix_status, embedding_status, embedding_dimensions, rebuild_counts, candidate_name_filter, health,
-    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, replace_graph, stream_link_counts, library_identity, candidate_cards_json,
+    node_merge_last_wins, edge_merge_distinct, edge_endpoint_resolve, registry_upsert, khop_expand, inherits_edges, parse_nodes, parse_edges, parse_warnings, ingest_counts, rebuild_embeddings, declared_identity, catalog_with_status, details_answers, replace_graph, stream_link_counts, library_identity, candidate_cards_json,
 )
 
 
@@ -527,6 +563,19 @@ def oracle_sql() -> dict[str, str]:
         "list_graphs": with_cur + _LISTED.format("true", 50),
         "catalog_prefix_status": with_cur + _LISTED.format("lower(name) LIKE 'l%' AND coalesce(status, 'active') = 'building'", 20),
         "embedding_status": with_cur + "SELECT graph_id, coalesce(bool_or(embedding IS NOT NULL), false) AS ready, " + ", ".join(f"arg_min_null({c}, node_id) FILTER (embedding IS NOT NULL) AS {c}" for c in ("embedding_provider", "embedding_model", "embedding_schema_version")) + " FROM cur GROUP BY graph_id",
+        "rebuild_embeddings": with_cur + f"SELECT graph_id, count(*) FILTER (kind IN {_EMBED}) AS embedded, greatest(0, count(*) FILTER (kind IN {_EMBED} AND embedding IS NOT NULL) - count(*) FILTER (kind IN {_EMBED})) AS skipped FROM cur WHERE graph_id IS NOT NULL GROUP BY graph_id",
+        "catalog_with_status": with_cur + ", listed AS (" + _LISTED.format("true", 50) + "), st AS (SELECT graph_id, coalesce(bool_or(embedding IS NOT NULL), false) AS ready, " + ", ".join(f"arg_min_null({c}, node_id) FILTER (embedding IS NOT NULL) AS {c}" for c in ("embedding_provider", "embedding_model", "embedding_schema_version")) + " FROM cur GROUP BY graph_id) SELECT * FROM listed JOIN st USING (graph_id)",
+        "details_answers": f"""WITH {_CUR}, {_REQ}, n AS (SELECT CAST(ceil(count(*) / 50) AS BIGINT) AS requests FROM req), asked AS (SELECT node_id, ('0x' || substr(md5(node_id), 1, 8))::BIGINT % requests AS request FROM req, n),
+            f AS (SELECT request, a.node_id, c.node_id IS NOT NULL AS there, regexp_replace(concat(kind, ' ', qualified_name, ': ', coalesce(nullif(docstring, ''), nullif(logic_skeleton, ''), nullif(signature, ''), '')), '^\\s+|\\s+$', '', 'g') AS item FROM asked a LEFT JOIN cur c USING (node_id)),
+            links AS (SELECT DISTINCT source_node_id, target_node_id, type FROM edges WHERE source_node_id <> '' AND target_node_id <> ''),
+            e AS (SELECT a.request, count(*) AS n_edges FROM links l JOIN asked a ON a.node_id = l.source_node_id JOIN asked b ON b.node_id = l.target_node_id AND a.request = b.request GROUP BY a.request)
+            SELECT request, count(*) FILTER (there) AS n_nodes, coalesce(any_value(n_edges), 0) AS n_edges, md5(coalesce(string_agg(item, ' | ' ORDER BY node_id) FILTER (there AND item <> ''), '')) AS digest, coalesce(string_agg(node_id, ' ' ORDER BY node_id) FILTER (NOT there), '') AS missing FROM f LEFT JOIN e USING (request) GROUP BY request""",
+        "declared_identity": """WITH f AS (SELECT graph_id, source_path AS path, lower(source_path) AS p, source_text AS t FROM source_files WHERE source_text IS NOT NULL AND graph_id IS NOT NULL),
+            k AS (SELECT *, CASE WHEN regexp_matches(p, '(^|/)pyproject\\.toml$') THEN 0 WHEN regexp_matches(p, '(^|/)setup\\.cfg$') THEN 1 WHEN regexp_matches(p, '\\.dist-info/metadata$') THEN 2 WHEN regexp_matches(p, '(^|/)__init__\\.py$') THEN 3 END AS kind FROM f),
+            d AS (SELECT graph_id, kind, path, nullif(trim(CASE kind WHEN 0 THEN regexp_extract(regexp_extract(t, '(?s)(?:^|\\n)\\[project\\][ \\t]*\\n(.*?)(?:\\n\\[|$)', 1), '(?m)^[ \\t]*name[ \\t]*=[ \\t]*["'']([^"''\\n]*)["'']', 1) WHEN 3 THEN regexp_extract(regexp_replace(path, '/?__init__\\.py$', ''), '[^/]*$') END), '') AS name,
+                nullif(trim(CASE kind WHEN 0 THEN regexp_extract(regexp_extract(t, '(?s)(?:^|\\n)\\[project\\][ \\t]*\\n(.*?)(?:\\n\\[|$)', 1), '(?m)^[ \\t]*version[ \\t]*=[ \\t]*["'']([^"''\\n]*)["'']', 1) WHEN 3 THEN regexp_extract(t, '__version__\\s*=\\s*[''"]([^''"]+)[''"]', 1) END), '') AS version FROM k WHERE kind IN (0, 3)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY kind, length(path), path, name NULLS FIRST, version NULLS FIRST) AS rn FROM d WHERE name IS NOT NULL OR version IS NOT NULL)
+            SELECT graph_id, name, version FROM r WHERE rn = 1""",
         "rebuild_counts": with_cur + f"SELECT graph_id, count(*) FILTER (kind IN {_EMBED}) AS embedded, greatest(0, count(*) FILTER (kind IN {_EMBED} AND embedding IS NOT NULL) - count(*) FILTER (kind IN {_EMBED})) AS skipped FROM cur GROUP BY graph_id",
         "candidate_name_filter": "SELECT name, CAST(CASE WHEN lower(name) LIKE 'li%' THEN 0 ELSE 1 END AS INTEGER) AS rank FROM (SELECT DISTINCT name FROM registry) WHERE lower(name) LIKE '%li%' ORDER BY rank, lower(name), name LIMIT 20",
         "health": "SELECT 'ok' AS status, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(DISTINCT graph_id) FROM nodes) AS n_graphs, (SELECT count(*) FROM edges) AS n_edges",
@@ -537,7 +586,7 @@ def oracle_sql() -> dict[str, str]:
         "khop_expand": """WITH both_ways AS (SELECT source_node_id AS a, target_node_id AS b FROM edges WHERE source_node_id <> '' AND target_node_id <> '' UNION SELECT target_node_id, source_node_id FROM edges WHERE source_node_id <> '' AND target_node_id <> ''),
             h0 AS (SELECT DISTINCT node_id, 0 AS distance FROM nodes WHERE kind = 'Library'), h1 AS (SELECT DISTINCT b AS node_id, 1 AS distance FROM h0 JOIN both_ways ON a = node_id), h2 AS (SELECT DISTINCT b AS node_id, 2 AS distance FROM h1 JOIN both_ways ON a = node_id)
             SELECT node_id, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node_id""",
-        "inherits_edges": with_cur + ", b AS (SELECT graph_id, node_id AS source_node_id, regexp_extract(unnest(bases), '[^.]*$') AS name FROM cur WHERE kind = 'Class') SELECT DISTINCT source_node_id, node_id AS target_node_id FROM b JOIN cur USING (graph_id, name) WHERE kind = 'Class' AND source_node_id <> node_id",
+        "inherits_edges": with_cur + ", b AS (SELECT graph_id, node_id AS source_node_id, regexp_extract(unnest(bases), '[^.]*$') AS name FROM cur WHERE kind = 'Class'), c AS (SELECT *, count(*) OVER (PARTITION BY graph_id, name) AS n_candidates FROM cur WHERE kind = 'Class') SELECT DISTINCT source_node_id, node_id AS target_node_id, n_candidates FROM b JOIN c USING (graph_id, name) WHERE source_node_id <> node_id",
         "library_identity": """WITH f AS (SELECT library_name, source_path, lower(source_path) LIKE '%.toml' AS project, nullif(trim(regexp_extract(source_text, '(?m)^name *= *["'']([^"''\\n]*)["'']', 1)), '') AS name,
             coalesce(nullif(trim(regexp_extract(source_text, '(?m)^version *= *["'']([^"''\\n]*)["'']', 1)), ''), nullif(trim(regexp_extract(source_text, '(?m)^__version__ *= *["'']([^"''\\n]*)["'']', 1)), '')) AS version FROM source_files WHERE source_text IS NOT NULL),
             r AS (SELECT *, row_number() OVER (PARTITION BY library_name ORDER BY NOT project, source_path, name NULLS FIRST, version NULLS FIRST) AS rn FROM f WHERE (project AND name IS NOT NULL) OR version IS NOT NULL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphweft.operators import catalog, details
 from graphweft.params import Details
 from graphweft.sources import embedding, python_api, store
+from graphweft.sources import ingest as library_ingest
 from graphweft.streaming import ingest
 
 API = '''class Client:
@@ -93,7 +94,7 @@ def test_details(spark):
     links = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("a", "zz", "X"), ("a", "", "X")], "source_node_id string, target_node_id string, type string")
     lookups = spark.createDataFrame([(1, 0, "b"), (1, 1, "zz"), (1, 2, "a"), (1, 3, "b"), (2, 0, "b"), (2, 1, None)], "request int, pos int, node_id string")
     one, two = details.answers(nodes, links, lookups, Details(("x",), excerpt=True)).orderBy("request").collect()
-    assert [n.node_id for n in one.nodes] == ["b", "a"] and one.missing_node_ids == ["zz"] and [tuple(e) for e in one.edges] == [("a", "b", "X")]
+    assert [n.node_id for n in one.nodes] == ["b", "a"] and one.missing_node_ids == ["zz"] and [tuple(e) for e in one.edges] == [("a", "b", "X"), ("a", "zz", "X")]
     assert one.expanded_context == "Class m.B: x -> y | Class m.A: doc" and one.nodes[1].source_excerpt == "src"
     assert [n.node_id for n in two.nodes] == ["b"] and two.edges == [] and two.missing_node_ids == []
     assert details.answers(nodes, links, lookups, Details(("x",), relationships=False)).orderBy("request").first().edges == []
@@ -162,7 +163,47 @@ def test_stream(spark, tmp_path):
     put(row("b", "class K: pass\n", 3))
     ingest.ingest_stream(spark, inbox, target, str(tmp_path / "cp")).awaitTermination()
     got = {(r.graph_id, r.kind, r.name) for r in store.read_graphs(spark, f"{target}/nodes").collect()}
-    assert got == {("a", "Module", "m"), ("a", "Function", "g"), ("b", "Module", "m"), ("b", "Class", "K")}
+    assert got == {("a", "Library", "a"), ("a", "Module", "m"), ("a", "Function", "g"), ("b", "Library", "b"), ("b", "Module", "m"), ("b", "Class", "K")}
+    # a graph over several batches keeps the files of the earlier ones
+    spark.createDataFrame([("a", "n.py", "n", "class N: pass\n", datetime(2024, 1, 4)), ("b", "m.py", "m", "late = 1\n", datetime(2024, 1, 2))], ingest.FILES).write.mode("append").parquet(inbox)
+    ingest.ingest_stream(spark, inbox, target, str(tmp_path / "cp")).awaitTermination()
+    got = {(r.graph_id, r.kind, r.name) for r in store.read_graphs(spark, f"{target}/nodes").where("kind <> 'Library'").collect()}
+    assert got == {("a", "Module", "m"), ("a", "Function", "g"), ("a", "Module", "n"), ("a", "Class", "N"), ("b", "Module", "m"), ("b", "Class", "K")}
+
+
+def test_ingest_end_to_end(spark, tmp_path):
+    files = spark.createDataFrame([(*f, "My Lib", "1") for f in FILES], SCHEMA + ", library string, version string")
+    target = str(tmp_path / "t")
+    one = library_ingest.ingest(files, target, library_ingest.Ingest()).collect()
+    assert [(r.graph_id, r.library, r.version, r.modules, r.classes, r.functions, r.examples, r.embedded_nodes, r.model) for r in one] == [("g:1", "My Lib", "1", 3, 1, 4, 1, 9, "deterministic-hash")]
+    assert one[0].warnings[0].startswith("Skipped pkg/bad.py") and one[0].stages.endswith("embed,persist,registry_update")
+    nodes = store.read_graphs(spark, f"{target}/nodes")
+    library = nodes.where("kind = 'Library'").first()
+    assert (library.node_id, library.summary, library.status, library.embedding) == ("g:1:Library:g:1", "Public API graph for My Lib 1.", "building", None)
+    assert store.resolved_edges(store.read_graphs(spark, f"{target}/edges"), nodes).count() == nodes.count() - 1
+    assert [(r.graph_id, r.name, r.status, r.counts.functions) for r in spark.read.parquet(f"{target}/registry").collect()] == [("g:1", "My Lib", "active", 4)]
+    assert [tuple(r) for r in library_ingest.rebuild_embeddings(spark, target, library_ingest.Ingest()).collect()] == [("g:1", 9, 0)]
+    assert store.read_graphs(spark, f"{target}/nodes").where("embedding is not null").count() == 9
+    # replaced by nothing: the Library node is all that is left, and no link
+    empty = spark.createDataFrame([("g:1", "pkg/e.py", None, "")], SCHEMA)
+    again = library_ingest.ingest(empty, target, library_ingest.Ingest("parse_load")).first()
+    assert (again.library, again.version, again.modules, again.embedded_nodes, again.provider) == ("g", "1", 0, 0, None)
+    assert [r.kind for r in store.stored(spark, f"{target}/nodes", nodes.schema).collect()] == ["Library"]
+    assert store.stored(spark, f"{target}/edges", "source_node_id string, graph_id string").collect() == []
+    only = library_ingest.ingest(files, str(tmp_path / "no"), library_ingest.Ingest("parse_only")).first()
+    assert only.functions == 4 and "persist" not in only.stages and not (tmp_path / "no" / "nodes").exists()
+    with pytest.raises(ValueError):
+        library_ingest.Ingest("other")
+
+
+def test_declared_identity(spark):
+    rows = [
+        ("a", "pyproject.toml", '[tool.x]\nname = "no"\n[project]\nname = "lib-a"\nversion = "1.2"\n[other]\nversion = "9"\n'), ("a", "a/__init__.py", "__version__ = '3'\n"),
+        ("b", "setup.cfg", "[options]\nname = no\n[metadata]\nname = lib_b\nversion = 2.0\n"), ("c", "site/c-1.dist-info/METADATA", "Metadata-Version: 2.1\nName: lib.c\nVersion: 0.1\n"),
+        ("d", "d/sub/__init__.py", "__version__ = '8'"), ("d", "d/__init__.py", "__version__ = '0.9.1'\n"), ("e", "x.py", "__version__ = '1'"), ("f", "pyproject.toml", None), (None, "setup.cfg", "[metadata]\nname = x\n"),
+    ]
+    df = spark.createDataFrame(rows, "graph_id string, path string, source string")
+    assert {tuple(r) for r in library_ingest.library_identity(df).collect()} == {("a", "lib-a", "1.2"), ("b", "lib_b", "2.0"), ("c", "lib.c", "0.1"), ("d", "d", "0.9.1")}
 
 
 def test_stream_counts(spark, tmp_path):
@@ -173,5 +214,5 @@ def test_stream_counts(spark, tmp_path):
     run()
     put(("calls", datetime(2023, 5, 1)), ("calls", datetime(2024, 1, 1, 23)))  # late rows
     run()
-    got = {(r.starts_at.day, r.starts_at.year, r.type, r.n) for r in spark.read.parquet(target).collect()}
+    got = {(r.starts_at.day, r.starts_at.year, r.type, r.n) for r in ingest.arrival_counts(spark, target).collect()}
     assert got == {(1, 2024, "CALLS", 3), (1, 2024, None, 1), (1, 2023, "CALLS", 1)}
