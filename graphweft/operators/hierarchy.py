@@ -111,7 +111,10 @@ def hierarchies(links: DataFrame) -> DataFrame:
         # a leaf's parent may have been spliced out in the same round: it is assigned before the leaf
         new = over.unionByName(_beneath(noted("raked"), known.unionByName(over))) if "spliced" in seen else _beneath(noted("raked"), known)
         assigned.append(written_path(new))
-    return read(assigned).join(first.select("h", F.col("child").alias("node"), F.col("parent").alias("parent_id")), ["h", "node"]).select(
+    parents = written(first.select("h", F.col("child").alias("node"), F.col("parent").alias("parent_id")))
+    discard(first, *[done for done, _ in rounds])
+    removed(spark, top)
+    return read(assigned).join(parents, ["h", "node"]).select(
         F.col("h").alias("hierarchy"), F.col("node").alias("node_id"), "parent_id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path"
     )
 
@@ -125,6 +128,64 @@ def descendants(found: DataFrame) -> DataFrame:
     return found.where("path is not null").select("hierarchy", "node_id", "depth", F.posexplode("path").alias("pos", "ancestor_id")).select("hierarchy", "ancestor_id", "node_id", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """One round of sizes: links take up what the leaves of the round before sent to their child, and are peeled.
+
+    ``n`` nodes are done at and beneath the child, ``tall`` links deep; ``add`` nodes were spliced out of the link
+    or hang at those, ``deep`` links beneath the parent. A spliced node notes the link ``below`` it.
+    """
+    drawn = lambda c: F.xxhash64(F.col(c), F.col("turn"))
+    link, leaf = F.col("what") == "link", F.col("what") == "raked"
+    kids = rows.groupBy("h", F.col("parent").alias("child")).agg(
+        F.count_if(link).alias("kids"),
+        F.min(F.when(link, F.struct(F.col("child").alias("node"), "dist", "add", "deep"))).alias("below"),
+        F.sum(F.when(leaf, F.col("n") + F.col("add"))).alias("sent"),
+        F.max(F.when(leaf, F.greatest(F.col("tall") + F.col("dist"), "deep"))).alias("high"),
+    )
+    left = rows.where(link).drop("below", "what").join(kids, ["h", "child"], "left")
+    left = left.withColumns({"n": F.col("n") + F.coalesce("sent", F.lit(0)), "tall": F.greatest("tall", F.coalesce("high", F.lit(0)))})
+    free = (drawn("child") > drawn("parent")) & (drawn("child") > F.xxhash64("below.node", "turn"))
+    left = left.withColumn("what", F.when(F.coalesce("kids", F.lit(0)) == 0, "raked").when((F.col("kids") == 1) & free, "spliced").otherwise("link")).drop("kids", "sent", "high")
+    out = left.where("what = 'spliced'").select("h", F.col("child").alias("parent"), F.struct("parent", "dist", "add", "deep", "n", "tall").alias("x"))
+    moved = F.col("x").isNotNull() & (F.col("what") != "spliced")
+    to = lambda c, new: F.when(moved, new).otherwise(F.col(c)).alias(c)
+    return left.join(out, ["h", "parent"], "left").select(
+        "h", "child", to("parent", F.col("x.parent")), to("dist", F.col("dist") + F.col("x.dist")), "n", "tall",
+        to("add", F.col("add") + F.col("x.n") + F.col("x.add")), to("deep", F.greatest(F.col("deep") + F.col("x.dist"), F.col("x.tall") + F.col("x.dist"), F.col("x.deep"))),
+        (F.col("turn") + 1).alias("turn"), "what", "below",
+    )
+
+
 def subtree_sizes(found: DataFrame) -> DataFrame:
-    """``hierarchy, node_id, n_descendants, height`` of every node that has a descendant (outside cycles)."""
-    return descendants(found).groupBy("hierarchy", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
+    """``hierarchy, node_id, n_descendants, height`` of every node that has a descendant (outside cycles).
+
+    Leaves send sizes up with each round of peeling, a number per link, so that the work is linear in the nodes
+    even of a chain. Nodes that were spliced out take theirs from the node below them when the rounds are replayed.
+    """
+    spark = found.sparkSession
+    links = found.where("depth >= 0").select(F.col("hierarchy").alias("h"), F.col("node_id").alias("child"), F.col("parent_id").alias("parent"))
+    zero = F.lit(0).cast("long")
+    start = links.select("h", "child", "parent", F.lit(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("n"), zero.alias("tall"), zero.alias("add"), zero.alias("deep"), F.lit(0).alias("turn"), F.lit("link").alias("what"))
+    first = written(start.withColumn("below", F.lit(None).cast("struct<node:string,dist:bigint,add:bigint,deep:bigint>")))
+    rounds, left = [], first
+    while True:
+        left = written(_sized(left))
+        rounds.append(left)
+        if not left.where("what = 'link'").limit(1).count():
+            break
+    schema = "h string, node string, n long, tall long"
+    done = [written_path(r.where("what = 'raked'").select("h", F.col("child").alias("node"), "n", "tall")) for r in rounds]
+    known = lambda: spark.read.schema(schema).parquet(*done)
+    for r in reversed(rounds):
+        spliced = r.where("what = 'spliced'").select("h", "child", "n", "tall", "below.*")
+        below = known().select("h", "node", F.col("n").alias("n_below"), F.col("tall").alias("tall_below"))
+        done.append(written_path(spliced.join(below, ["h", "node"]).select("h", F.col("child").alias("node"), (F.col("n") + F.col("add") + F.col("n_below")).alias("n"), F.greatest("tall", F.col("tall_below") + F.col("dist"), "deep").alias("tall"))))
+    # roots are the parents that are no child; all of their links were peeled at last
+    raked = rounds[0]
+    for r in rounds[1:]:
+        raked = raked.unionByName(r)
+    roots = raked.where("what = 'raked'").groupBy("h", F.col("parent").alias("node")).agg((F.sum(F.col("n") + F.col("add")) + 1).alias("n"), F.max(F.greatest(F.col("tall") + F.col("dist"), "deep")).alias("tall"))
+    roots = roots.join(first.select("h", F.col("child").alias("node")), ["h", "node"], "left_anti")
+    done.append(written_path(roots))
+    discard(first, *rounds)
+    return known().where("n > 1").select(F.col("h").alias("hierarchy"), F.col("node").alias("node_id"), (F.col("n") - 1).alias("n_descendants"), F.col("tall").alias("height"))

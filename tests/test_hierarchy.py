@@ -41,6 +41,30 @@ def test_trees_chains_cycles(spark):
     got = found(spark, links)
     assert got == expected(links)
     assert got["b", "leaf"][:2] == ("k1", -1)
+    below = {}
+    for (h, _), (_, _, path) in got.items():
+        for k, a in enumerate(path or []):
+            n, height = below.get((h, a), (0, 0))
+            below[h, a] = (n + 1, max(height, len(path) - k))
+    sizes = hierarchy.subtree_sizes(hierarchy.hierarchies(spark.createDataFrame(links, LINKS)))
+    assert {(r.hierarchy, r.node_id): (r.n_descendants, r.height) for r in sizes.collect()} == below
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sizes_of_random_forests(spark, seed):
+    rng = random.Random(seed)
+    links = [("a", f"n{i}", f"n{rng.randrange(max(0, i - rng.choice([1, 1, 2, 9])), i)}") for i in range(1, 160) if i % 23]
+    tree = hierarchy.hierarchies(spark.createDataFrame(links, LINKS))
+    want = {}
+    for r in tree.collect():
+        for k, a in enumerate(r.path):
+            n, height = want.get(a, (0, 0))
+            want[a] = (n + 1, max(height, len(r.path) - k))
+    assert {r.node_id: (r.n_descendants, r.height) for r in hierarchy.subtree_sizes(tree).collect()} == want
+
+
+def test_sizes_of_nothing(spark):
+    assert hierarchy.subtree_sizes(hierarchy.hierarchies(spark.createDataFrame([], LINKS))).collect() == []
 
 
 def test_empty_and_several_parents(spark):
