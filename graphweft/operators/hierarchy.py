@@ -10,7 +10,7 @@ taken out last is assigned first, and each node takes root, depth and path from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphweft.session import discard, removed, written, written_path
@@ -37,41 +37,37 @@ def graph_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(links: DataFrame) -> DataFrame:
-    """One round: every link again with ``what`` became of it (``link``, ``raked`` or ``spliced``).
-
-    ``turn`` is a column, so that all rounds are one plan and their generated code is compiled once.
-    """
-    drawn = lambda c: F.xxhash64(F.col(c), F.col("turn"))
-    kids = links.groupBy("h", F.col("parent").alias("child")).agg(F.count("*").alias("n"), F.min("child").alias("below"))
-    rows = links.join(kids, ["h", "child"], "left")
-    # no two neighbours: a node with one child, whose number drawn in this round is above its parent's and its child's
-    free = (F.col("child") != F.col("parent")) & (F.col("below") != F.col("child")) & (drawn("child") > drawn("parent")) & (drawn("child") > drawn("below"))
-    rows = rows.withColumn("what", F.when(F.col("n").isNull(), "raked").when((F.col("n") == 1) & free, "spliced").otherwise("link")).drop("n", "below")
-    over = rows.where("what = 'spliced'").select("h", F.col("child").alias("parent"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"), F.col("between").alias("up_between"), F.col("low").alias("up_low"))
-    moved = F.col("up").isNotNull() & (F.col("what") == "link")
-    return rows.join(over, ["h", "parent"], "left").select(
-        "h",
-        "child",
-        F.when(moved, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-        F.when(moved, F.col("dist") + F.col("up_dist")).otherwise(F.col("dist")).alias("dist"),
-        F.when(moved, F.concat("up_between", F.array("parent"), "between")).otherwise(F.col("between")).alias("between"),
-        F.when(moved, F.least("low", "up_low", "parent")).otherwise(F.col("low")).alias("low"),
-        (F.col("turn") + 1).alias("turn"),
-        "what",
-    )
-
-
-def _beneath(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The nodes of ``rows``, assigned from the parents that they noted when they were taken out."""
-    above = known.select("h", F.col("node").alias("parent"), "root", F.col("depth").alias("up"), "path")
-    return rows.join(above, ["h", "parent"]).select(
-        "h",
-        F.col("child").alias("node"),
-        "root",
-        F.when(F.col("up") < 0, -1).otherwise(F.col("up") + F.col("dist")).alias("depth"),
-        F.concat("path", F.array("parent"), "between").alias("path"),
-    )
+#: One round of peeling: every remaining link again with ``what`` became of it (``link``, ``raked`` or ``spliced``).
+#: ``turn`` is a column, so that all rounds are one plan and their generated code is compiled once; as texts, rounds
+#: cost the driver one call each. No two neighbours are spliced: a node with one child, whose number drawn in this
+#: round is above its parent's and its child's.
+_PEEL = """
+    WITH links AS (SELECT * FROM {left} WHERE what = 'link'),
+    kids AS (SELECT h, parent AS child, count(*) AS n, min(child) AS below FROM links GROUP BY h, parent),
+    judged AS (
+        SELECT l.h, l.child, l.parent, l.dist, l.between_, l.low, l.turn, CASE
+            WHEN n IS NULL THEN 'raked'
+            WHEN n = 1 AND l.child <> l.parent AND below <> l.child AND xxhash64(l.child, turn) > xxhash64(l.parent, turn) AND xxhash64(l.child, turn) > xxhash64(below, turn) THEN 'spliced'
+            ELSE 'link' END AS what
+        FROM links l LEFT JOIN kids k ON l.h = k.h AND l.child = k.child),
+    over AS (SELECT h, child, parent AS up, dist AS up_dist, between_ AS up_between, low AS up_low FROM judged WHERE what = 'spliced'),
+    met AS (SELECT j.*, up, up_dist, up_between, up_low, up IS NOT NULL AND what = 'link' AS moved FROM judged j LEFT JOIN over o ON j.h = o.h AND j.parent = o.child)
+    SELECT h, child, IF(moved, up, parent) AS parent, IF(moved, dist + up_dist, dist) AS dist, IF(moved, concat(up_between, array(parent), between_), between_) AS between_,
+        IF(moved, least(low, up_low, parent), low) AS low, turn + 1 AS turn, what
+    FROM met
+"""
+#: The nodes that a round took out, assigned from the parents that they noted. A leaf's parent may have been spliced
+#: out in the same round: it is assigned before the leaf.
+_ASSIGN = """
+    WITH over AS (
+        SELECT d.h, d.child AS node, k.root, IF(k.depth < 0, -1, k.depth + d.dist) AS depth, concat(k.path, array(d.parent), d.between_) AS path
+        FROM {done} d JOIN {known} k ON d.h = k.h AND d.parent = k.node WHERE d.what = 'spliced'),
+    above AS (SELECT h, node, root, depth, path FROM {known} UNION ALL SELECT h, node, root, depth, path FROM over)
+    SELECT h, node, root, depth, path FROM over
+    UNION ALL
+    SELECT d.h, d.child, k.root, IF(k.depth < 0, -1, k.depth + d.dist), concat(k.path, array(d.parent), d.between_)
+    FROM {done} d JOIN above k ON d.h = k.h AND d.parent = k.node WHERE d.what = 'raked'
+"""
 
 
 def hierarchies(links: DataFrame) -> DataFrame:
@@ -85,14 +81,13 @@ def hierarchies(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     start = links.where("child is not null and parent is not null").groupBy(F.col("hierarchy").alias("h"), "child").agg(F.min("parent").alias("parent"))
     nowhere = F.array().cast("array<string>")
-    first = written(start.select("h", "child", "parent", F.lit(1).alias("dist"), nowhere.alias("between"), F.lit(None).cast("string").alias("low"), F.lit(0).alias("turn"), F.lit("link").alias("what")))
+    first = written(start.select("h", "child", "parent", F.lit(1).alias("dist"), nowhere.alias("between_"), F.lit(None).cast("string").alias("low"), F.lit(0).alias("turn"), F.lit("link").alias("what")))
     left, rounds = first, []
     while True:
-        done = written(_peel(left.where("what = 'link'").drop("what")))
-        seen = {(r["what"], r["loop"]) for r in done.select("what", (F.col("child") == F.col("parent")).alias("loop")).distinct().collect()}
-        rounds.append((done, {w for w, _ in seen}))
-        left = done
-        if ("link", False) not in seen:
+        seen = Observation()
+        left = written(spark.sql(_PEEL, left=left).observe(seen, F.expr("count_if(what = 'link' AND child <> parent) AS open")))
+        rounds.append(left)
+        if not seen.get.get("open"):
             break
 
     # roots are parents that are no child; a link that closed on itself stands for its cycle
@@ -102,17 +97,10 @@ def hierarchies(links: DataFrame) -> DataFrame:
     top, assigned = written_path(roots), [written_path(cycles)]
     # one scan of all that is assigned, whatever the number of rounds: the plans of the rounds differ in paths only
     read = lambda paths: spark.read.schema(roots.schema).parquet(*paths)
-    for done, seen in reversed(rounds):
-        known = read([top, *assigned])
-        noted = lambda what: done.where(F.col("what") == what)  # noqa: B023, E731
-        if not seen & {"spliced", "raked"}:
-            continue
-        over = _beneath(noted("spliced"), known)
-        # a leaf's parent may have been spliced out in the same round: it is assigned before the leaf
-        new = over.unionByName(_beneath(noted("raked"), known.unionByName(over))) if "spliced" in seen else _beneath(noted("raked"), known)
-        assigned.append(written_path(new))
+    for done in reversed(rounds):
+        assigned.append(written_path(spark.sql(_ASSIGN, done=done, known=read([top, *assigned]))))
     parents = written(first.select("h", F.col("child").alias("node"), F.col("parent").alias("parent_id")))
-    discard(first, *[done for done, _ in rounds])
+    discard(first, *rounds)
     removed(spark, top)
     return read(assigned).join(parents, ["h", "node"]).select(
         F.col("h").alias("hierarchy"), F.col("node").alias("node_id"), "parent_id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path"
@@ -169,9 +157,10 @@ def subtree_sizes(found: DataFrame) -> DataFrame:
     first = written(start.withColumn("below", F.lit(None).cast("struct<node:string,dist:bigint,add:bigint,deep:bigint>")))
     rounds, left = [], first
     while True:
-        left = written(_sized(left))
+        seen = Observation()
+        left = written(_sized(left).observe(seen, F.count_if(F.col("what") == "link").alias("open")))
         rounds.append(left)
-        if not left.where("what = 'link'").limit(1).count():
+        if not seen.get.get("open"):
             break
     schema = "h string, node string, n long, tall long"
     done = [written_path(r.where("what = 'raked'").select("h", F.col("child").alias("node"), "n", "tall")) for r in rounds]
