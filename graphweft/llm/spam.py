@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.session import discard, written
+
 #: Words of a window (about) over which the averages are taken.
 WINDOW = 24
 #: A pair of content words counts as crowded up to this gap (in words); regular repetition knows no such limit.
@@ -246,13 +248,15 @@ def function_words(pages: DataFrame, *, text_col: str, lang_col: str | None = No
     """
     lang = F.coalesce(F.regexp_extract(F.lower(F.trim(lang_col)), "^[a-z]{2}", 0), F.lit("")) if lang_col else F.lit("")
     rows = pages.where(F.trim(text_col) != "").select(lang.alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(_counted, "lang string, word string, docs long, places long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places"))
+    counts = written(rows.mapInArrow(_counted, "lang string, word string, docs long, places long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places")))
     # one row per language, of which there are 677 at most
     totals = counts.where("word = ''").select("lang", F.col("docs").alias("n"), F.col("places").alias("all"))
     often = counts.where("word <> ''").join(F.broadcast(totals), "lang").where((F.col("n") >= LEAST_DOCS) & (F.col("docs") >= USED * F.col("n")))
     so_far = F.sum("places").over(Window.partitionBy("lang").orderBy(F.desc("docs"), "word").rowsBetween(Window.unboundedPreceding, 0))
     found = often.withColumn("so_far", so_far).where(F.col("so_far") <= COVERED * F.col("all"))
-    return frozenset(r["word"] for r in found.select("word").distinct().collect())
+    out = frozenset(r["word"] for r in found.select("word").distinct().collect())
+    discard(counts)
+    return out
 
 
 def spam_pages(pages: DataFrame, *, id_col: str, text_col: str, lang_col: str | None = None, share: float = SHARE) -> DataFrame:
