@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.session import written
+from graphweft.session import discard, written
 
 #: A sentence of so few words (names left out) is boilerplate if the functions of this share of all names have it, and of so many names.
 SHORT, SHARED, LEAST_NAMES = 8, 0.0005, 3
@@ -388,10 +388,12 @@ def shared_sentences(functions: DataFrame) -> frozenset[int]:
                     codes.append(code)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(codes, pa.int64())], ["name", "sentence"])
 
-    pairs = functions.mapInArrow(run, "name long, sentence long").distinct()
-    used = written(pairs.groupBy("sentence").agg(F.count("*").alias("names")).unionByName(pairs.select(F.lit(0).cast("long").alias("sentence"), "name").groupBy("sentence").agg(F.count_distinct("name").alias("names")).withColumn("sentence", F.lit(None).cast("long"))))
-    every = used.where("sentence is null").agg(F.max("names")).first()[0] or 0
-    return frozenset(r["sentence"] for r in used.where(F.col("sentence").isNotNull() & (F.col("names") >= max(LEAST_NAMES, SHARED * every))).select("sentence").collect())
+    pairs = written(functions.mapInArrow(run, "name long, sentence long").distinct())
+    every = pairs.select("name").distinct().count()
+    used = pairs.where("sentence is not null").groupBy("sentence").agg(F.count("*").alias("names"))
+    out = frozenset(r["sentence"] for r in used.where(F.col("names") >= max(LEAST_NAMES, SHARED * every)).select("sentence").collect())
+    discard(pairs)
+    return out
 
 
 def documented_functions(functions: DataFrame, *, id_col: str, doc_col: str, name_col: str, signature_col: str, code_col: str) -> DataFrame:
