@@ -89,7 +89,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_check(spark: SparkSession, d: str) -> DataFrame:
-    """Per pack: documents, whether each token of each lies in one piece, pieces too large, containers over the capacity, and whether the fill is 98 % or more."""
+    """Per pack: documents, whether each token of each lies in one piece, pieces too large, containers over the capacity, and whether the fill is 98 % or more, but for one container."""
     pieces = written(p7_containers(spark, d))
     sizes = tokens.with_tokens(table(spark, d, "documents"), text_col="text", keep=["doc_id"])
     packs = table(spark, d, "pack_sizes").groupBy("pack_name").agg(F.min("capacity_tokens").alias("capacity"))
@@ -97,9 +97,9 @@ def p7_check(spark: SparkSession, d: str) -> DataFrame:
     ends = pieces.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("*").alias("n"), F.count_distinct("start").alias("starts"), F.max("n_tokens").alias("largest"))
     whole = (F.col("packed") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("n") == F.col("starts"))
     docs = ends.join(sizes, "doc_id", "full").groupBy("pack_name").agg(F.count("*").alias("n_docs"), F.min(F.coalesce(whole, F.lit(False))).alias("whole"), F.max("largest").alias("largest"))
-    used = pieces.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("used")).groupBy("pack_name").agg(F.max("used").alias("fullest"), F.avg("used").alias("mean"))
+    used = pieces.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("used")).groupBy("pack_name").agg(F.max("used").alias("fullest"), F.sum("used").alias("used"), F.count("*").alias("boxes"))
     out = docs.join(used, "pack_name").join(packs, "pack_name")
-    return out.select("pack_name", "capacity", "n_docs", "whole", (F.col("largest") > F.col("capacity")).alias("too_large"), (F.col("fullest") > F.col("capacity")).alias("overfull"), (F.col("mean") >= 0.98 * F.col("capacity")).alias("well_filled"))
+    return out.select("pack_name", "capacity", "n_docs", "whole", (F.col("largest") > F.col("capacity")).alias("too_large"), (F.col("fullest") > F.col("capacity")).alias("overfull"), (F.col("used") >= 0.98 * F.col("capacity") * (F.col("boxes") - 1)).alias("well_filled"))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
