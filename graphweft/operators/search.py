@@ -19,8 +19,8 @@ from graphweft.operators.merge import current_rows
 from graphweft.params import Search
 from graphweft.session import parallelism, written
 
-#: Postings of one term (about) that meet its queries in one part.
-PER_PART = 100_000
+#: Pairs of a query and a posting (about) that meet in one part, and terms at most that have more than one part.
+PER_PART, MOST_HOT = 50_000, 100_000
 #: What a search reads of a node.
 FIELDS = {c: c for c in ("graph_id", "kind", "name", "qualified_name", "source_path", "summary", "docstring", "signature", "is_public")}
 META = {"embedding_text": "metadata.embedding_text", "embedding": "metadata.embedding"}
@@ -269,23 +269,38 @@ def bm25_indexed(post: DataFrame, terms: DataFrame, scopes: DataFrame, search: S
     return _with_row(_with_row(tf, total), found).select("node_id", bm25(search).alias("bm25")).where("bm25 > 0")
 
 
+#: A term that no text has; its posting of each node tells the node's length.
+LENGTH = ""
+
+
 def batch_bm25(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best nodes by BM25 of every query: ``query_id, node_id, bm25, rank``.
 
-    ``queries`` has ``query_id, query``. Terms meet postings in one equi-join, so any number of queries share one
-    pass over the texts; scores add up per (query, node) before ranking, and each task ranks its own first. A term
-    that very many nodes have meets its queries in as many parts as that takes. Scope is all nodes but libraries.
+    ``queries`` has ``query_id, query``. One pass over the texts makes the postings of the terms that are asked and
+    one posting per node for the statistics; terms meet postings in one equi-join, scores add up per (query, node)
+    before ranking, and each task ranks its own first. A term that very many nodes have meets its queries in as many
+    parts as its pairs take. Scope is all nodes but libraries.
     """
-    asked = queries.where("query_id is not null and query is not null").select("query_id", F.explode(text.words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    post = written(postings(nodes).select("term", "node_id", "tf", "doc_len"))
-    stats = post.groupBy("term").agg(F.count("*").alias("df"))
-    parts = F.ceil(F.col("df") / PER_PART).cast("int")
-    # of terms with more than PER_PART postings there are few
-    post = post.join(F.broadcast(stats.where(F.col("df") > PER_PART).select("term", parts.alias("parts"))), "term", "left")
+    terms = F.explode(text.words(F.col("query"))).alias("term")
+    asked = written(queries.where("query_id is not null and query is not null").select("query_id", terms).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    tokens = in_scope(nodes).select("node_id", text.words(text.haystack()).alias("tokens"))
+    each = tokens.select("node_id", F.size("tokens").alias("doc_len"), F.explode(F.concat("tokens", F.array(F.lit(LENGTH)))).alias("term"))
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(LENGTH).alias("term"))).distinct()
+    post = written(each.join(wanted, "term", "left_semi").groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")))
+    total = post.where(F.col("term") == LENGTH).agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("average"))
+    post = post.where(F.col("term") != LENGTH)
+    asks = asked.groupBy("term").agg(F.count("*").alias("asks"))
+    stats = written(post.groupBy("term").agg(F.count("*").alias("df")).join(asks, "term"))
+    met = F.col("df") * F.col("asks")
+    most = stats.agg(F.greatest(F.lit(PER_PART), F.sum(met) / MOST_HOT)).scalar()
+    stats = stats.withColumn("parts", F.ceil(met / most).cast("int"))
+    # at most MOST_HOT terms have more than one part
+    post = post.join(F.broadcast(stats.where("parts > 1").select("term", "parts")), "term", "left")
     post = post.select("term", "node_id", "tf", "doc_len", F.pmod(F.xxhash64("node_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    stats = stats.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    total = scope_stats(nodes).agg(F.sum("n").alias("n"), (F.sum("total_len") / F.sum("n")).alias("average"))
-    met = _with_row(asked.join(stats, "term").join(post, ["term", "part"]), total)
+    asked = asked.join(stats.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "term")
+    # a given number of partitions is not made smaller: few postings may meet very many queries
+    n = max(parallelism(post.sparkSession), int(post.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = _with_row(asked.repartition(n, "term", "part").join(post.repartition(n, "term", "part"), ["term", "part"]), total)
     d = F.col("df") * F.col("times")
     idf = F.log(F.lit(1.0) + (F.col("n") - d + 0.5) / (d + 0.5))
     part = F.col("times") * idf * (F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + scoring.K1 * (1 - scoring.B + scoring.B * (F.greatest("doc_len", F.lit(1)) / F.col("average")))))

@@ -100,6 +100,7 @@ def test_batch_search_splits_hot_terms(spark, monkeypatch):
     whole = {tuple(r) for r in search.batch_bm25(df, asked, 4).collect()}
     monkeypatch.setattr(search, "PER_PART", 7)
     assert whole == {tuple(r) for r in search.batch_bm25(df, asked, 4).collect()} and {r[0] for r in whole} == {1, 2}
+    assert search.batch_bm25(df.limit(0), asked, 4).count() == 0 and search.batch_bm25(df, asked.limit(0), 4).count() == 0
 
 
 def test_nearest_of_each(spark):
