@@ -8,8 +8,13 @@ generated JVM code. With the stored postings and statistics a query reads only i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +24,12 @@ from graphweft.operators.merge import current_rows
 from graphweft.params import Search
 from graphweft.session import parallelism, written
 
-#: Pairs of a query and a posting (about) that meet in one part, and terms at most that have more than one part.
-PER_PART, MOST_HOT = 50_000, 100_000
+#: Terms of the queries of a block (about), and nodes (about) that meet a block in one part.
+BLOCK, PER_PART = 262_144, 1_000_000
+#: Asked terms at most that are sent to all tasks (some 10 MB).
+MOST_TERMS = 200_000
+#: Nodes that a block scores at once: few at first, as their scores bound the work on all others; bytes of them at most (about).
+FIRST, CHUNK, CHUNK_BYTES = 8_192, 131_072, 64 << 20
 #: What a search reads of a node.
 FIELDS = {c: c for c in ("graph_id", "kind", "name", "qualified_name", "source_path", "summary", "docstring", "signature", "is_public")}
 META = {"embedding_text": "metadata.embedding_text", "embedding": "metadata.embedding"}
@@ -269,41 +278,168 @@ def bm25_indexed(post: DataFrame, terms: DataFrame, scopes: DataFrame, search: S
     return _with_row(_with_row(tf, total), found).select("node_id", bm25(search).alias("bm25")).where("bm25 > 0")
 
 
-#: A term that no text has; its posting of each node tells the node's length.
+#: A term that no text has; each node has it once, so that nodes without an asked term count as well.
 LENGTH = ""
+#: More than rounding to 6 digits changes a score.
+SLACK = 1e-6
+
+
+class Best:
+    """The ``k`` best nodes so far of each query of a block, while nodes come in chunks.
+
+    A query's terms come by descending weight, and scores are sums in this order. What its last terms can add at most
+    tells which of the first terms a node must have to come among the best (MaxScore): only the postings of those are
+    read, and the last terms are looked up for the nodes that may still do. Nothing is left out by that.
+    """
+
+    def __init__(self, queries: pa.Table, k: int, average: float):
+        self.ids, self.k, self.average = queries["query_id"].combine_chunks(), k, average
+        names = pc.list_flatten(queries["terms"].combine_chunks())
+        self.terms = names.unique()
+        ends = np.cumsum(pc.list_value_length(queries["terms"]).to_numpy()).tolist()
+        codes = pc.index_in(names, value_set=self.terms).to_pylist()
+        weights = pc.list_flatten(queries["weights"].combine_chunks()).to_pylist()
+        self.asked = [list(zip(codes[a:b], weights[a:b], strict=True)) for a, b in pairwise([0, *ends])]
+        self.best: list[list[tuple[float, str]]] = [[] for _ in self.asked]
+
+    def add(self, nodes: pa.Table) -> None:
+        """Score nodes ``node_id, doc_len, terms``, a term as often as the text has it."""
+        nodes = nodes.select(["node_id", "doc_len", "terms"]).sort_by("node_id").combine_chunks()  # equal scores go by node
+        n, lists = len(nodes), nodes["terms"].combine_chunks()
+        code = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=self.terms), -1).to_numpy().astype(np.int64)
+        key = (code * n + pc.list_parent_indices(lists).to_numpy())[code >= 0]
+        key, tf = np.unique(key, return_counts=True)
+        if not len(key):
+            return
+        code, node = key // n, key % n
+        length = np.maximum(nodes["doc_len"].to_numpy(), 1)[node]
+        impact = tf * (scoring.K1 + 1) / (tf + scoring.K1 * (1 - scoring.B + scoring.B * (length / self.average)))
+        first = np.searchsorted(code, np.arange(len(self.terms) + 1))
+        most, there = np.zeros(len(self.terms)), np.flatnonzero(np.diff(first))
+        most[there] = np.maximum.reduceat(impact, first[there])
+        first, most, names, sums = first.tolist(), most.tolist(), nodes["node_id"].to_pylist(), np.zeros(n)
+        for q, asked in enumerate(self.asked):
+            best = self.best[q]
+            least = -best[-1][0] if len(best) == self.k else 0.0
+            rest, p = 0.0, len(asked)  # from term p on, the terms add ``rest`` at most
+            while p:
+                more = max(asked[p - 1][1], 0.0) * most[asked[p - 1][0]]
+                if more and rest + more >= least - SLACK:
+                    break
+                rest, p = rest + more, p - 1
+            found = [(node[first[t] : first[t + 1]], w * impact[first[t] : first[t + 1]]) for t, w in asked[:p] if first[t] < first[t + 1]]
+            if not found:
+                continue
+            if len(found) == 1:
+                at, score = found[0]
+                keep = score >= least - rest - SLACK
+                at, score = at[keep], score[keep]
+            else:
+                for at, score in found:
+                    sums[at] += score
+                if least:
+                    met = np.concatenate([at for at, _ in found])
+                    at = np.unique(met[sums[met] >= least - rest - SLACK])
+                else:
+                    met = at = np.flatnonzero(sums)
+                score = sums[at]
+                sums[met] = 0.0
+            for t, w in asked[p:]:
+                if first[t] < first[t + 1] and len(at):
+                    own = node[first[t] : first[t + 1]]
+                    place = np.minimum(np.searchsorted(own, at), len(own) - 1)
+                    has = own[place] == at
+                    score[has] += w * impact[first[t] : first[t + 1]][place[has]]
+            score = np.floor(score * 1e6 + 0.5) / 1e6
+            keep = (score > 0) & (score >= least)
+            at, score = at[keep], score[keep]
+            if len(at) > self.k:
+                kth = np.partition(score, len(score) - self.k)[len(score) - self.k]
+                over = np.flatnonzero(score > kth)
+                keep = np.concatenate([over, np.flatnonzero(score == kth)[: self.k - len(over)]])
+                at, score = at[keep], score[keep]
+            if len(at):
+                self.best[q] = sorted([*best, *((-s, names[i]) for s, i in zip(score.tolist(), at.tolist(), strict=True))])[: self.k]
+
+    def found(self) -> pa.RecordBatch:
+        rows = pa.array(np.repeat(np.arange(len(self.best)), [len(x) for x in self.best]))
+        columns = [self.ids.take(rows), pa.array([name for x in self.best for _, name in x], pa.string()), pa.array([-s for x in self.best for s, _ in x], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "node_id", "bm25"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], first: int, chunk: int) -> Iterator[tuple[int, pa.Table]]:
+    """Rows sorted by ``step`` as tables of one step: an even step (queries) whole, an odd one (nodes) in chunks."""
+    held, step, rows, size, most = [], None, 0, 0, first
+    for batch in batches:
+        steps = batch.column("step").to_numpy()
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(steps)]):
+            if a < b and steps[a] != step:
+                if held:
+                    yield step, pa.Table.from_batches(held)
+                held, step, rows, size, most = [], int(steps[a]), 0, 0, first
+            while a < b:
+                part = batch.slice(a, min(b - a, most - rows) if step % 2 else b - a)
+                held.append(part)
+                a, rows, size = a + len(part), rows + len(part), size + part.nbytes
+                if step % 2 and (rows >= most or size >= CHUNK_BYTES):
+                    yield step, pa.Table.from_batches(held)
+                    held, rows, size, most = [], 0, 0, chunk
+    if held:
+        yield step, pa.Table.from_batches(held)
+
+
+def _best(k: int, average: float, first: int, chunk: int):
+    """A function for ``mapInArrow``: of rows sorted by ``step``, the best nodes of each query of step 2 i among the
+    nodes of step 2 i + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, best = None, None
+        for at, rows in _runs(batches, first, chunk):
+            if at % 2 == 0:
+                if best:
+                    yield best.found()
+                step, best = at, Best(rows, k, average)
+            elif at - 1 == step:
+                best.add(rows)
+        if best:
+            yield best.found()
+
+    return run
 
 
 def batch_bm25(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best nodes by BM25 of every query: ``query_id, node_id, bm25, rank``.
 
-    ``queries`` has ``query_id, query``. One pass over the texts makes the postings of the terms that are asked and
-    one posting per node for the statistics; terms meet postings in one equi-join, scores add up per (query, node)
-    before ranking, and each task ranks its own first. A term that very many nodes have meets its queries in as many
-    parts as its pairs take. Scope is all nodes but libraries.
+    ``queries`` has ``query_id, query``. One pass over the texts leaves of each node its length and the terms that are
+    asked. Blocks of queries meet parts of the nodes; a task holds a block's queries with their best nodes so far while
+    the nodes of a part stream through, so that pairs of a query and a node are never rows: only the ``k`` best per
+    query and part are shuffled and ranked. Scope is all nodes but libraries.
     """
+    spark = nodes.sparkSession
     terms = F.explode(text.words(F.col("query"))).alias("term")
     asked = written(queries.where("query_id is not null and query is not null").select("query_id", terms).groupBy("query_id", "term").agg(F.count("*").alias("times")))
     tokens = in_scope(nodes).select("node_id", text.words(text.haystack()).alias("tokens"))
     each = tokens.select("node_id", F.size("tokens").alias("doc_len"), F.explode(F.concat("tokens", F.array(F.lit(LENGTH)))).alias("term"))
-    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(LENGTH).alias("term"))).distinct()
-    post = written(each.join(wanted, "term", "left_semi").groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")))
-    total = post.where(F.col("term") == LENGTH).agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("average"))
-    post = post.where(F.col("term") != LENGTH)
-    asks = asked.groupBy("term").agg(F.count("*").alias("asks"))
-    stats = written(post.groupBy("term").agg(F.count("*").alias("df")).join(asks, "term"))
-    met = F.col("df") * F.col("asks")
-    most = stats.agg(F.greatest(F.lit(PER_PART), F.sum(met) / MOST_HOT)).scalar()
-    stats = stats.withColumn("parts", F.ceil(met / most).cast("int"))
-    # at most MOST_HOT terms have more than one part
-    post = post.join(F.broadcast(stats.where("parts > 1").select("term", "parts")), "term", "left")
-    post = post.select("term", "node_id", "tf", "doc_len", F.pmod(F.xxhash64("node_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    asked = asked.join(stats.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "term")
-    # a given number of partitions is not made smaller: few postings may meet very many queries
-    n = max(parallelism(post.sparkSession), int(post.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = _with_row(asked.repartition(n, "term", "part").join(post.repartition(n, "term", "part"), ["term", "part"]), total)
+    wanted = written(asked.select("term").union(spark.range(1).select(F.lit(LENGTH).alias("term"))).distinct())
+    # else all tokens of all nodes are shuffled
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    post = written(each.join(wanted, "term", "left_semi").groupBy("node_id", "doc_len").agg(F.array_remove(F.collect_list("term"), LENGTH).alias("terms")))
+    n, total = post.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    blocks = max(1, -(-asked.count() // BLOCK))
+    parts = max(-(-n // PER_PART), -(-4 * parallelism(spark) // blocks))
+    df = post.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     d = F.col("df") * F.col("times")
-    idf = F.log(F.lit(1.0) + (F.col("n") - d + 0.5) / (d + 0.5))
-    part = F.col("times") * idf * (F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + scoring.K1 * (1 - scoring.B + scoring.B * (F.greatest("doc_len", F.lit(1)) / F.col("average")))))
-    sums = met.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("bm25")).where("bm25 > 0")
+    idf = F.log(F.lit(1.0) + (F.lit(n) - d + 0.5) / (d + 0.5))
+    weighed = asked.join(df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("times") * idf).alias("weight"), "term")), asc=False).alias("asked"))
+    # an even step holds a block's queries, the next one the nodes of a part that meet them
+    step = lambda block, part, odd: ((block * parts + part) * 2 + odd).cast("long").alias("step")
+    count = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    ask = weighed.select("query_id", "asked", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), count(parts).alias("part"))
+    ask = ask.select(step(F.col("block"), F.col("part"), 0), "query_id", F.lit(None).cast("string").alias("node_id"), F.lit(0).alias("doc_len"), F.col("asked.term").alias("terms"), F.col("asked.weight").alias("weights"))
+    met = post.where(F.size("terms") > 0).select("*", count(blocks).alias("block"))
+    met = met.select(step(F.col("block"), F.pmod(F.xxhash64("node_id"), F.lit(parts)), 1), F.lit(None).cast(kind).alias("query_id"), "node_id", "doc_len", "terms", F.lit(None).cast("array<double>").alias("weights"))
+    rows = ask.union(met).repartition(blocks * parts, F.shiftright("step", 1)).sortWithinPartitions("step")
+    best = rows.mapInArrow(_best(k, total / n if total else 1.0, FIRST, CHUNK), f"query_id {kind}, node_id string, bm25 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "node_id"))
-    return sums.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import text, vector
 from graphweft.operators import search
 from graphweft.params import Details, InvalidInput, Search
+from graphweft.plans import graph_queries
 from graphweft.sources import embedding
 
 COLUMNS = "node_id string, graph_id string, kind string, name string, qualified_name string, source_path string, summary string, docstring string, signature string, is_public boolean, embedding_text string"
@@ -103,6 +104,62 @@ def test_batch_search_splits_hot_terms(spark, monkeypatch):
     assert search.batch_bm25(df.limit(0), asked, 4).count() == 0 and search.batch_bm25(df, asked.limit(0), 4).count() == 0
 
 
+def _shuffled(spark, since=-1):
+    """The last stage so far, and the rows that the stages after ``since`` shuffled."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = lambda: jvm.java.util.ArrayList()
+    listed = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+    stages = [s for s in map(listed.apply, range(listed.size())) if s.stageId() > since]
+    return max([since, *(s.stageId() for s in stages)]), sum(s.shuffleWriteRecords() for s in stages)
+
+
+def test_batch_search_shuffles_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    # every text has the hot term, some are alike (equal scores go by node), and its repeats in a query weigh less than nothing
+    nodes = [(f"n{rng.random()}", " ".join(["and"] * rng.choice([1, 1, 3]) + rng.choices(words, k=rng.choice([2, 2, 9])))) for _ in range(1500)]
+    queries = [(i, " ".join([*["and"] * rng.choice([1, 2]), *rng.choices(words, k=rng.choice([0, 1, 3]))])) for i in range(300)]
+    df = spark.createDataFrame(nodes, "node_id string, summary string")
+    df = df.select("node_id", F.lit("g").alias("graph_id"), F.lit("Function").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("name", "qualified_name", "docstring", "signature", "embedding_text")], "summary")
+    tokens = {n: t.split() for n, t in nodes}
+    average = sum(map(len, tokens.values())) / len(tokens)
+    count = {w: sum(w in t for t in tokens.values()) for w in ["and", *words]}
+    want = set()
+    for q, asked in queries:
+        scores = {}
+        for n, t in tokens.items():
+            s = 0.0
+            for w in set(asked.split()):
+                m, tf = asked.split().count(w), t.count(w)
+                d = m * count[w]
+                s += m * math.log(1 + (len(tokens) - d + 0.5) / (d + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / average))
+            if round(s, 6) > 0:
+                scores[n] = round(s, 6)
+        want |= {(q, n, r) for r, n in enumerate(sorted(scores, key=lambda n: (-scores[n], n))[:5], 1)}
+    assert len({q for q, _, _ in want}) < len(queries)  # some only ask what weighs less than nothing
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    for first, chunk, block in [(8_192, 131_072, 262_144), (20, 50, 200)]:
+        monkeypatch.setattr(search, "FIRST", first, raising=False)
+        monkeypatch.setattr(search, "CHUNK", chunk, raising=False)
+        monkeypatch.setattr(search, "BLOCK", block, raising=False)
+        since, _ = _shuffled(spark)
+        got = {(r.query_id, r.node_id, r["rank"]) for r in search.batch_bm25(df, asked, 5).collect()}
+        assert got == want
+        assert _shuffled(spark, since)[1] < 0.2 * len(nodes) * len(queries)
+
+
+def test_batch_search_rounds_as_sql(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    scores = [12.83725, 0.00005, 1.00005, 7.123449, 2.0]
+    made = spark.createDataFrame([(i, 1, f"n{i}", x) for i, x in enumerate(scores)], "query_id long, rank int, node_id string, bm25 double")
+    monkeypatch.setattr(graph_queries.search, "batch_bm25", lambda *_: made)
+    monkeypatch.setattr(graph_queries, "table", lambda *_: spark.createDataFrame([], "doc_id long, title string"))
+    monkeypatch.setattr(graph_queries, "_current", lambda *_: None)
+    got = [r.bm25 for r in graph_queries.batch_search(spark, "").orderBy("query_id").collect()]
+    assert got == [duckdb.execute("select round(?::double, 4)", [x]).fetchone()[0] for x in scores]
+
+
 def test_nearest_of_each(spark):
     rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(99, None)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
